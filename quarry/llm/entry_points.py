@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, packing, rollups, urls
+from . import chat, decontaminate, lines, packing, rollups, toxicity, urls
 from .common import materialise, scratch
 
 #: A line on this many sites is boilerplate.
@@ -36,6 +36,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), window=1024, with_ids=False).drop("ids")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages"), RULES).drop("logit")
 
@@ -47,6 +53,10 @@ def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "prompt_turns", F.md5("prompt").alias("prompt_md5"), F.md5("chosen").alias("chosen_md5"), F.md5("rejected").alias("rejected_md5"), size("chosen_spans").alias("chosen_trained"), size("rejected_spans").alias("rejected_trained"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents go in by three batches under one tokenizer, one batch's counts are revised to the second and then restored, the second tokenizer's counts come in, a third is deleted and comes back, and batches are sent twice. The totals must be those of all documents under both."""
     import public_tokenizers
@@ -73,7 +83,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.totals()
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_packing, op7_url_filter, op8_preference, op10_token_rollup)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_packing, op5_toxicity, op7_url_filter, op8_preference, op9_decontaminate, op10_token_rollup)}
 ORACLE = {"op1_line_dedup": OP1_SQL, "op8_preference": chat.ORACLE}
 
 
