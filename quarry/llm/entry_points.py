@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lines, packing, rollups, toxicity, urls
+from . import chat, decontaminate, lines, media, packing, rollups, toxicity, urls
 from .common import materialise, scratch
 
 #: A line on this many sites is boilerplate.
@@ -42,6 +42,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_table(spark, sf_dir, "documents"), keep=False).drop("media", "tensor")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages"), RULES).drop("logit")
 
@@ -83,7 +87,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.totals()
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_packing, op5_toxicity, op7_url_filter, op8_preference, op9_decontaminate, op10_token_rollup)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_packing, op5_toxicity, op6_media, op7_url_filter, op8_preference, op9_decontaminate, op10_token_rollup)}
 ORACLE = {"op1_line_dedup": OP1_SQL, "op8_preference": chat.ORACLE}
 
 
