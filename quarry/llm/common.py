@@ -46,7 +46,7 @@ def hadoop(spark: SparkSession, path: str):
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a frame's bytes; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def docs_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:

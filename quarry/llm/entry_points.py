@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lines, media, neardup, packing, rollups, toxicity, urls
+from . import chat, decontaminate, lines, media, neardup, packing, repeats, rollups, toxicity, urls
 from .common import materialise, scratch
 
 #: A line on this many sites is boilerplate.
@@ -32,6 +32,10 @@ FROM l LEFT JOIN b ON l.line = b.line GROUP BY doc_id
 """
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"), 50, with_text=False).drop("spans", "kept")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of")
 
@@ -91,7 +95,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.totals()
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_near_dedup, op4_packing, op5_toxicity, op6_media, op7_url_filter, op8_preference, op9_decontaminate, op10_token_rollup)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_repeats, op3_near_dedup, op4_packing, op5_toxicity, op6_media, op7_url_filter, op8_preference, op9_decontaminate, op10_token_rollup)}
 ORACLE = {"op1_line_dedup": OP1_SQL, "op8_preference": chat.ORACLE}
 
 
