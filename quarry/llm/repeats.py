@@ -43,10 +43,11 @@ from .common import bytes_of, docs_of, expand, input_bytes, mixed
 from .tokens import _powers
 
 K = 20
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 #: Parts of a block that are hashed at once.
 PART = 1_000_000
-MOST_BLOCKS = 20_000
+#: Blocks where Catalyst cannot tell the input's size.
+UNKNOWN_BLOCKS = 4096
 NONE = np.iinfo(np.int64).max
 
 
@@ -138,6 +139,16 @@ def segment_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.
     return mixed((total[start + size] - total[start]) * inv[start] + size.astype(np.uint64))
 
 
+def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """data[start : start + size] for all, end to end; indexes are made for a part at a time."""
+    at = np.append(0, np.cumsum(size))
+    out = np.empty(int(at[-1]), data.dtype)
+    step = 20_000
+    for k in range(0, len(start), step):
+        out[at[k] : at[min(k + step, len(start))]] = data[expand(start[k : k + step], size[k : k + step])]
+    return out
+
+
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -319,14 +330,17 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     if length < K + 8:
         raise ValueError(f"length must be {K + 8} or more")
     src = docs_of(docs, id_col, text_col)
-    blocks = int(min(MOST_BLOCKS, max(1, -(-4 * input_bytes(src) // block_bytes))))
+    size = input_bytes(src)
+    # Parquet text takes a few times its bytes on disk; buckets hold an eighth of what blocks hold, and less for segments
+    blocks = max(1, -(-4 * size // block_bytes)) if size < 1 << 60 or block_bytes > 1 << 40 else UNKNOWN_BLOCKS
+    buckets = -(-blocks // 2)
     null_ids = src.filter("doc_id IS NULL")
     own = src.filter("doc_id IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
 
     def send_anchors(t: pa.Table) -> pa.Table:
         block = t.column("block")[0].as_py()
         _, data, off, ids = _block(t)
-        h, several, _, parts = _anchors(Segments(data, off, length, False), ids, blocks)
+        h, several, _, parts = _anchors(Segments(data, off, length, False), ids, buckets)
         return _rows([(k, block, h[x:y].tobytes(), np.packbits(several[x:y]).tobytes()) for k, x, y in parts])
 
     def find_shared(t: pa.Table) -> pa.Table:
@@ -348,16 +362,16 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         block = left.column("block")[0].as_py()
         _, data, off, ids = _block(left)
         seg = Segments(data, off, length, True)
-        h, _, entry, parts = _anchors(seg, ids, blocks)
+        h, _, entry, parts = _anchors(seg, ids, buckets)
         shared = np.zeros(len(h), bool)
         answer = dict(zip(right.column("bucket").to_pylist(), right.column("a").to_pylist()))
         for k, x, y in parts:
             shared[x:y] = np.unpackbits(np.frombuffer(answer[k], np.uint8), count=y - x)
         one, low = _segments_of(seg, np.flatnonzero(shared[entry]), ids)
-        order, parts = _by_bucket(seg.anchor[one], blocks)
+        order, parts = _by_bucket(seg.anchor[one], buckets)
         one, low = one[order], low[order]
         size = seg.count[one] + length - 1
-        text = data[expand(seg.first[one], size)]
+        text = gather(data, seg.first[one], size)
         at = np.append(0, np.cumsum(size))
         # the anchor stands at or after the last window's start
         lead = _anchor_places(text, at, seg.anchor[one], seg.count[one])
@@ -377,7 +391,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         least = np.full(len(first), NONE)
         np.minimum.at(least, inv, low)
         some = size[first]
-        part, off, by_window = _least_ids(text[expand(at[:-1][first], some)], np.append(0, np.cumsum(some)), lead[first], least, length)
+        part, off, by_window = _least_ids(gather(text, at[:-1][first], some), np.append(0, np.cumsum(some)), lead[first], least, length)
         where = np.full(len(first), -1)
         where[part] = np.arange(len(part))
         out, x = [], 0
