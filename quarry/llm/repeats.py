@@ -331,9 +331,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         raise ValueError(f"length must be {K + 8} or more")
     src = docs_of(docs, id_col, text_col)
     size = input_bytes(src)
-    # Parquet text takes a few times its bytes on disk; buckets hold an eighth of what blocks hold, and less for segments
+    # Parquet text takes a few times its bytes on disk; a bucket's segments are several times as long as what they stand for
     blocks = max(1, -(-4 * size // block_bytes)) if size < 1 << 60 or block_bytes > 1 << 40 else UNKNOWN_BLOCKS
-    buckets = -(-blocks // 2)
+    buckets = 3 * blocks
     null_ids = src.filter("doc_id IS NULL")
     own = src.filter("doc_id IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
 
