@@ -163,7 +163,8 @@ def bag_bytes(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 raw = v.tobytes()
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[x:y] for x, y in zip(off[:-1], off[1:])], pa.binary())], names=["id", "bag"])
 
-    return docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").mapInArrow(run, "id long, bag binary")
+    # ids grow with the corpus, so they are never broadcast, however few they are here
+    return docs.join(ids.hint("merge"), docs["doc_id"] == ids["id"], "left_semi").mapInArrow(run, "id long, bag binary")
 
 
 def overlap(a: bytes, b: bytes) -> tuple[int, int]:
