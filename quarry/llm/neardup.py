@@ -18,6 +18,13 @@ Candidates are verified on whole multisets, and classes are the connected
 components of verified links, found by alternating large-star and small-star
 steps on tables in the shared folder.
 
+Then larger buckets that still hold several components are settled: every text
+outside the bucket's main component meets every text of other components there,
+in blocks of about BLOCK texts a side, and pairs whose signatures agree in at
+least PLAUSIBLE of their components are verified too (a pair at 0.8 falls below
+with a probability under 3e-6). Buckets of one component cost nothing here, so
+a large group of copies stays linear, and no link inside a bucket is passed over.
+
 Edge cases: words are \\w+ runs in lower case; a text of one to four words is
 one shingle; texts without words are alike only if equal; a null text is
 empty; rows with a null id get a null class; rows with equal ids are one
@@ -40,6 +47,9 @@ from .words import Words
 SHINGLE = 5
 BANDS, ROWS = 42, 6
 SMALL = 8
+#: Times are whole ticks, so sums of them are exact and do not depend on which texts are sketched together.
+TICKS = 2.0**38
+BLOCK, PLAUSIBLE = 256, 0.68
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,7 +86,7 @@ def bags(text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def signatures(text: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, m: int = BANDS * ROWS) -> np.ndarray:
-    """(n, m) times of the earliest points; infinite for texts without elements."""
+    """(n, m) times of the earliest points, in ticks; infinite for texts without elements."""
     levels = np.where(weight > 1, np.ceil(np.log2(np.maximum(weight, 1))), 0).astype(np.int64) + 1
     level = expand(np.zeros(len(levels), np.int64), levels)
     elem = np.repeat(np.arange(len(h)), levels)
@@ -93,7 +103,7 @@ def signatures(text: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, m: i
         turn = c[:, None] + np.arange(1, g + 1, dtype=np.uint64)
         u = mixed(seed[:, None] + turn * _K)
         v = mixed(u ^ np.uint64(0xA0761D6478BD642F))
-        at = t[:, None] + np.cumsum(-np.log(((u >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53), 1) / width[:, None]
+        at = t[:, None] + np.cumsum(np.floor(np.log(((u >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * -TICKS / width[:, None]), 1)
         comp = ((v >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
         ok = (v & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 < share[:, None]
         np.minimum.at(sig, (where[:, None] * m + comp)[ok], at[ok])
@@ -104,7 +114,7 @@ def signatures(text: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, m: i
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, k1, k2, total, bands): a 128-bit key of the multiset, its size, and bucket keys (none for texts without words)."""
+    """(doc_id, k1, k2, total, bands, sig): a 128-bit key of the multiset, its size, bucket keys (none for texts without words), and a byte for each signature component."""
 
     def run(batches):
         for whole in batches:
@@ -123,21 +133,26 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     d = hashlib.sha256(texts[i].encode()).digest()
                     keys[0][i], keys[1][i] = (int.from_bytes(d[j : j + 8], "little") for j in (0, 8))
                 sig = signatures(text, h, w, n).view(np.uint64).reshape(n, BANDS, ROWS)
+                short = mixed(sig.reshape(n, BANDS * ROWS).copy()).astype(np.uint8)
                 key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (n, BANDS)).copy()
                 for r in range(ROWS):
                     key = mixed(key * _K + sig[:, :, r])
                 size = np.where(total > 0, BANDS, 0)
                 flat = key.view(np.int64).reshape(-1)[np.repeat(total > 0, BANDS)]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(k.view(np.int64)) for k in keys), pa.array(total), lists], names=["doc_id", "k1", "k2", "total", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(k.view(np.int64)) for k in keys), pa.array(total), lists, pa.array([x.tobytes() for x in short], pa.binary())], names=["doc_id", "k1", "k2", "total", "bands", "sig"])
 
-    return docs_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, k1 long, k2 long, total long, bands array<long>")
+    return docs_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, k1 long, k2 long, total long, bands array<long>, sig binary")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """(a, b), a < b, from (rep, total, bands)."""
+def buckets(reps: DataFrame) -> DataFrame:
+    """(rep, total, key, cnt) for every bucket of two or more, from (rep, total, bands)."""
     rows = reps.select("rep", "total", F.explode("bands").alias("key"))
-    shared = materialise(rows.withColumn("cnt", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("cnt > 1"), "neardup-buckets")
+    return materialise(rows.withColumn("cnt", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("cnt > 1"), "neardup-buckets")
+
+
+def candidates(shared: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of small buckets, centre and neighbour in larger ones."""
     mates = shared.groupBy("rep").agg(F.sum("cnt").alias("mates"))
     w = Window.partitionBy("key").orderBy(F.desc("mates"), "rep")
     me = F.struct("rep", "total")
@@ -148,6 +163,56 @@ def candidates(reps: DataFrame) -> DataFrame:
     return fits.select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b")).distinct()
 
 
+def unsettled(shared: DataFrame, roots: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(a, b), a < b: plausible pairs of different components within buckets of more than SMALL. sigs has (rep, sig)."""
+    big = shared.filter(F.col("cnt") > SMALL).join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "total", F.coalesce("root", "rep").alias("comp"))
+    parts = big.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed_keys = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rows = big.join(mixed_keys, "key").select("key", "rep", "total", "comp", (F.col("comp") != F.col("main")).alias("minor"), blocks(F.col("n") - F.col("most")).alias("ni"), blocks(F.col("n")).alias("nj"))
+    rows = materialise(rows, "neardup-unsettled").join(sigs.hint("merge"), "rep")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = lambda n: F.pmod(F.xxhash64("rep"), n.cast("long")).cast("int")
+    row = ["rep", "total", "comp", "minor", "sig"]
+    left = rows.filter("minor").select("key", own(F.col("ni")).alias("i"), every(F.col("nj")).alias("j"), F.lit(True).alias("query"), *row)
+    right = rows.select("key", every(F.col("ni")).alias("i"), own(F.col("nj")).alias("j"), F.lit(False).alias("query"), *row)
+    cells = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches):
+        cell, held = None, []
+        for b in batches:
+            at = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(3)], 1)
+            cut = np.append(0, np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1) if len(at) else []
+            for s, e in zip(cut, np.append(cut[1:], len(at)).astype(int)):
+                if held and tuple(at[s]) != cell:
+                    yield _plausible(held)
+                    held = []
+                cell = tuple(at[s])
+                held.append(b.slice(int(s), int(e - s)))
+        if held:
+            yield _plausible(held)
+
+    return cells.mapInArrow(run, "a long, b long").distinct()
+
+
+def _plausible(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The pairs of one cell."""
+    t = pa.Table.from_batches(parts)
+    query, minor = (t[c].to_numpy().astype(bool) for c in ("query", "minor"))
+    rep, total, comp = (t[c].to_numpy() for c in ("rep", "total", "comp"))
+    sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    r = np.flatnonzero(~query)
+    a, b = [], []
+    for q in np.flatnonzero(query).tolist():
+        ok = (comp[r] != comp[q]) & (5 * np.minimum(total[r], total[q]) >= 4 * np.maximum(total[r], total[q])) & (~minor[r] | (rep[r] > rep[q]))
+        hit = r[ok]
+        hit = hit[(sig[hit] == sig[q]).mean(1) >= PLAUSIBLE]
+        a.append(np.minimum(rep[hit], rep[q]))
+        b.append(np.maximum(rep[hit], rep[q]))
+    none = [np.zeros(0, np.int64)]
+    return pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a or none), pa.int64()), "b": pa.array(np.concatenate(b or none), pa.int64())})
+
+
 def bag_bytes(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, bag): whole multisets of the documents in ids, as sorted 64-bit values; the j-th copy of a shingle is a value of its own."""
 
@@ -207,16 +272,23 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _links(src: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that hold on whole multisets."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    return verified(pairs, materialise(bag_bytes(src, ids).dropDuplicates(["id"]), "neardup-bags"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, copy_of) for every row: the least id of its class, and of the documents with its very multiset."""
     src = docs_of(docs, id_col, text_col)
     sk = materialise(sketch(src), "neardup-sketch")
     has = sk.filter("doc_id IS NOT NULL")
-    reps = materialise(has.groupBy("k1", "k2").agg(F.min_by(F.struct("doc_id", "total", "bands"), "doc_id").alias("r")).select("k1", "k2", F.col("r.doc_id").alias("rep"), F.col("r.total").alias("total"), F.col("r.bands").alias("bands")), "neardup-reps")
-    pairs = materialise(candidates(reps), "neardup-pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    bag = materialise(bag_bytes(src, ids).dropDuplicates(["id"]), "neardup-bags")
-    roots = components(verified(pairs, bag))
+    reps = materialise(has.groupBy("k1", "k2").agg(F.min_by(F.struct("doc_id", "total", "bands", "sig"), "doc_id").alias("r")).select("k1", "k2", F.col("r.doc_id").alias("rep"), F.col("r.total").alias("total"), F.col("r.bands").alias("bands"), F.col("r.sig").alias("sig")), "neardup-reps")
+    shared = buckets(reps)
+    roots = components(_links(src, materialise(candidates(shared), "neardup-pairs")))
+    more = materialise(unsettled(shared, roots, reps.select("rep", "sig")), "neardup-pairs")
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_links(src, more)))
     named = reps.select("k1", "k2", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.col("rep").alias("copy_of"), F.coalesce("root", "rep").alias("class_id"))
     one = has.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "class_id", "copy_of")
     none = F.lit(None).cast("long")

@@ -52,6 +52,33 @@ def test_signatures_estimate_weighted_jaccard():
     assert np.isfinite(tiny[0]).all() and np.isinf(tiny[1]).all()
 
 
+def test_signatures_do_not_depend_on_the_batch():
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcdefghij") + str(r.randrange(99)) for _ in range(r.randrange(5, 400))) for _ in range(150)]
+
+    def sig(ts):
+        return nd.signatures(*nd.bags(*nd.shingles(ts)), len(ts))
+
+    together = sig(texts)
+    for k in range(0, 150, 10):
+        assert (sig([texts[k]])[0] == together[k]).all()
+
+
+def test_links_that_meet_only_in_large_buckets(spark):
+    """Two families around one template, each linked within, and single links between texts that are nobody's centre."""
+    r = random.Random(11)
+    base = [f"w{r.randrange(9000)}" for _ in range(300)]
+    rows = []
+    for i in range(240):
+        t = list(base)
+        for _ in range(7 + i % 4):
+            t[r.randrange(300)] = f"own{i}x{r.randrange(99)}"
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in nd.classes(df).collect()}
+    assert got == brute(rows) and len(set(got.values())) > 1
+
+
 def test_classes_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r.doc_id: r.class_id for r in nd.classes(docs).collect()}
