@@ -18,12 +18,14 @@ Candidates are verified on whole multisets, and classes are the connected
 components of verified links, found by alternating large-star and small-star
 steps on tables in the shared folder.
 
-Then larger buckets that still hold several components are settled: every text
-outside the bucket's main component meets every text of other components there,
-in blocks of about BLOCK texts a side, and pairs whose signatures agree in at
-least PLAUSIBLE of their components are verified too (a pair at 0.8 falls below
-with a probability under 3e-6). Buckets of one component cost nothing here, so
-a large group of copies stays linear, and no link inside a bucket is passed over.
+Then larger buckets that still hold several components are settled. Buckets
+that share texts form crowds; in each, every text outside the crowd's main
+component meets every text of other components, in blocks of about BLOCK bytes a
+side. Pairs whose signatures agree in at least PLAUSIBLE of their components (a
+pair at 0.8 falls below with a probability under 4e-6) are verified in the block
+on whole multisets, and the block gives out only links that join components. So
+no link inside a bucket is passed over, buckets of one component cost nothing,
+and rows stay linear in the input.
 
 Edge cases: words are \\w+ runs in lower case; a text of one to four words is
 one shingle; texts without words are alike only if equal; a null text is
@@ -49,7 +51,7 @@ BANDS, ROWS = 42, 6
 SMALL = 8
 #: Times are whole ticks, so sums of them are exact and do not depend on which texts are sketched together.
 TICKS = 2.0**38
-BLOCK, PLAUSIBLE = 256, 0.68
+BLOCK, PLAUSIBLE = 16 << 20, 0.68
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,7 +116,7 @@ def signatures(text: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, m: i
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, k1, k2, total, bands, sig): a 128-bit key of the multiset, its size, bucket keys (none for texts without words), and a byte for each signature component."""
+    """(doc_id, k1, k2, total, bands): a 128-bit key of the multiset, its size, and bucket keys (none for texts without words)."""
 
     def run(batches):
         for whole in batches:
@@ -133,16 +135,15 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     d = hashlib.sha256(texts[i].encode()).digest()
                     keys[0][i], keys[1][i] = (int.from_bytes(d[j : j + 8], "little") for j in (0, 8))
                 sig = signatures(text, h, w, n).view(np.uint64).reshape(n, BANDS, ROWS)
-                short = mixed(sig.reshape(n, BANDS * ROWS).copy()).astype(np.uint8)
                 key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (n, BANDS)).copy()
                 for r in range(ROWS):
                     key = mixed(key * _K + sig[:, :, r])
                 size = np.where(total > 0, BANDS, 0)
                 flat = key.view(np.int64).reshape(-1)[np.repeat(total > 0, BANDS)]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(k.view(np.int64)) for k in keys), pa.array(total), lists, pa.array([x.tobytes() for x in short], pa.binary())], names=["doc_id", "k1", "k2", "total", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(k.view(np.int64)) for k in keys), pa.array(total), lists], names=["doc_id", "k1", "k2", "total", "bands"])
 
-    return docs_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, k1 long, k2 long, total long, bands array<long>, sig binary")
+    return docs_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, k1 long, k2 long, total long, bands array<long>")
 
 
 def buckets(reps: DataFrame) -> DataFrame:
@@ -163,73 +164,96 @@ def candidates(shared: DataFrame) -> DataFrame:
     return fits.select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b")).distinct()
 
 
-def unsettled(shared: DataFrame, roots: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(a, b), a < b: plausible pairs of different components within buckets of more than SMALL. sigs has (rep, sig)."""
+def crowds(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(crowd, rep, total, comp, minor, ni, nj): texts in crowds of several components; two texts of one large bucket share a crowd."""
     big = shared.filter(F.col("cnt") > SMALL).join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "total", F.coalesce("root", "rep").alias("comp"))
-    parts = big.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed_keys = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    rows = big.join(mixed_keys, "key").select("key", "rep", "total", "comp", (F.col("comp") != F.col("main")).alias("minor"), blocks(F.col("n") - F.col("most")).alias("ni"), blocks(F.col("n")).alias("nj"))
-    rows = materialise(rows, "neardup-unsettled").join(sigs.hint("merge"), "rep")
+    split = big.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("first")).filter("lo <> hi").select("key", "first")
+    rows = materialise(big.join(split, "key"), "neardup-open")
+    label = rows.groupBy("rep").agg(F.min("first").alias("label"))
+    crowd = rows.join(label, "rep").groupBy("key").agg(F.min("label").alias("crowd"))
+    each = materialise(rows.join(crowd, "key").select("crowd", "rep", "total", "comp").distinct(), "neardup-crowds")
+    cost = F.sum(8 * F.col("total") + (BLOCK >> 10))
+    parts = each.groupBy("crowd", "comp").agg(F.count(F.lit(1)).alias("n"), cost.alias("cost"))
+    sums = parts.groupBy("crowd").agg(F.max_by(F.struct("comp", "cost"), F.struct("n", "comp")).alias("main"), F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    return each.join(sums.select("crowd", F.col("main.comp").alias("main"), blocks(F.col("cost") - F.col("main.cost")).alias("ni"), blocks(F.col("cost")).alias("nj")), "crowd").withColumn("minor", F.col("comp") != F.col("main")).drop("main")
+
+
+def settled(members: DataFrame, bag: DataFrame) -> DataFrame:
+    """(a, b): links between components of one crowd, as many as join what they join; members as crowds gives them, bag has (id, bag, sig)."""
+    rows = members.join(bag.hint("merge"), members["rep"] == bag["id"])
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     own = lambda n: F.pmod(F.xxhash64("rep"), n.cast("long")).cast("int")
-    row = ["rep", "total", "comp", "minor", "sig"]
-    left = rows.filter("minor").select("key", own(F.col("ni")).alias("i"), every(F.col("nj")).alias("j"), F.lit(True).alias("query"), *row)
-    right = rows.select("key", every(F.col("ni")).alias("i"), own(F.col("nj")).alias("j"), F.lit(False).alias("query"), *row)
-    cells = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    row = ["rep", "total", "comp", "minor", "sig", "bag"]
+    left = rows.filter("minor").select("crowd", own(F.col("ni")).alias("i"), every(F.col("nj")).alias("j"), F.lit(True).alias("query"), *row)
+    right = rows.select("crowd", every(F.col("ni")).alias("i"), own(F.col("nj")).alias("j"), F.lit(False).alias("query"), *row)
+    cells = left.unionByName(right).repartition("crowd", "i", "j").sortWithinPartitions("crowd", "i", "j")
 
     def run(batches):
         cell, held = None, []
         for b in batches:
             at = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(3)], 1)
-            cut = np.append(0, np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1) if len(at) else []
-            for s, e in zip(cut, np.append(cut[1:], len(at)).astype(int)):
+            cut = np.append(0, np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1) if len(at) else np.zeros(0, np.int64)
+            for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(at)]):
                 if held and tuple(at[s]) != cell:
-                    yield _plausible(held)
+                    yield _joining(held)
                     held = []
                 cell = tuple(at[s])
-                held.append(b.slice(int(s), int(e - s)))
+                held.append(b.slice(s, e - s))
         if held:
-            yield _plausible(held)
+            yield _joining(held)
 
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    return cells.mapInArrow(run, "a long, b long")
 
 
-def _plausible(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """The pairs of one cell."""
+def _joining(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Links of one block that join components."""
     t = pa.Table.from_batches(parts)
     query, minor = (t[c].to_numpy().astype(bool) for c in ("query", "minor"))
     rep, total, comp = (t[c].to_numpy() for c in ("rep", "total", "comp"))
     sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    bag = t["bag"]
+    at: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := at.get(x, x)) != x:
+            x = y
+        return x
+
     r = np.flatnonzero(~query)
     a, b = [], []
     for q in np.flatnonzero(query).tolist():
         ok = (comp[r] != comp[q]) & (5 * np.minimum(total[r], total[q]) >= 4 * np.maximum(total[r], total[q])) & (~minor[r] | (rep[r] > rep[q]))
         hit = r[ok]
         hit = hit[(sig[hit] == sig[q]).mean(1) >= PLAUSIBLE]
-        a.append(np.minimum(rep[hit], rep[q]))
-        b.append(np.maximum(rep[hit], rep[q]))
-    none = [np.zeros(0, np.int64)]
-    return pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a or none), pa.int64()), "b": pa.array(np.concatenate(b or none), pa.int64())})
+        mine = bag[q].as_buffer() if len(hit) else None
+        for k in hit.tolist():
+            x, y = top(int(comp[q])), top(int(comp[k]))
+            if x != y and alike(*overlap(mine, bag[k].as_buffer())):
+                at[max(x, y)] = min(x, y)
+                a.append(int(rep[q]))
+                b.append(int(rep[k]))
+    return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def bag_bytes(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, bag): whole multisets of the documents in ids, as sorted 64-bit values; the j-th copy of a shingle is a value of its own."""
+def bag_bytes(docs: DataFrame, ids: DataFrame, with_sig: bool = False) -> DataFrame:
+    """(id, bag, sig): a byte for each signature component if asked for, and whole multisets of the documents in ids, as sorted 64-bit values; the j-th copy of a shingle is a value of its own."""
 
     def run(batches):
         for whole in batches:
             for b in slices(whole, limit=2_000_000):
                 text, h, w = bags(*shingles(b.column(1).to_pylist()))
+                sig = [x.tobytes() for x in mixed(signatures(text, h, w, b.num_rows).view(np.uint64)).astype(np.uint8)] if with_sig else [None] * b.num_rows
                 j = expand(np.zeros(len(w), np.int64), w)
                 v = mixed(np.repeat(h, w) + j.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
                 t = np.repeat(text, w)
                 v = v[np.lexsort((v, t))]
                 off = 8 * np.append(0, np.cumsum(np.bincount(t, minlength=b.num_rows)))
                 raw = v.tobytes()
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[x:y] for x, y in zip(off[:-1], off[1:])], pa.binary())], names=["id", "bag"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[x:y] for x, y in zip(off[:-1], off[1:])], pa.binary()), pa.array(sig, pa.binary())], names=["id", "bag", "sig"])
 
     # ids grow with the corpus, so they are never broadcast, however few they are here
-    return docs.join(ids.hint("merge"), docs["doc_id"] == ids["id"], "left_semi").mapInArrow(run, "id long, bag binary")
+    return docs.join(ids.hint("merge"), docs["doc_id"] == ids["id"], "left_semi").mapInArrow(run, "id long, bag binary, sig binary")
 
 
 def overlap(a: bytes, b: bytes) -> tuple[int, int]:
@@ -239,6 +263,10 @@ def overlap(a: bytes, b: bytes) -> tuple[int, int]:
     return both, len(x) + len(y) - both
 
 
+def alike(both: int, union: int, parts: int = 5, of: int = 4) -> bool:
+    return union > 0 and parts * both >= of * union
+
+
 def verified(pairs: DataFrame, bag: DataFrame, parts: int = 5, of: int = 4) -> DataFrame:
     """Pairs whose multisets have parts * |intersection| >= of * |union|."""
 
@@ -246,8 +274,7 @@ def verified(pairs: DataFrame, bag: DataFrame, parts: int = 5, of: int = 4) -> D
         for b in batches:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                i, u = overlap(x, y)
-                keep.append(u > 0 and parts * i >= of * u)
+                keep.append(alike(*overlap(x, y), parts, of))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = pairs.join(bag.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a")
@@ -272,23 +299,21 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _links(src: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that hold on whole multisets."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    return verified(pairs, materialise(bag_bytes(src, ids).dropDuplicates(["id"]), "neardup-bags"))
-
-
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, copy_of) for every row: the least id of its class, and of the documents with its very multiset."""
     src = docs_of(docs, id_col, text_col)
     sk = materialise(sketch(src), "neardup-sketch")
     has = sk.filter("doc_id IS NOT NULL")
-    reps = materialise(has.groupBy("k1", "k2").agg(F.min_by(F.struct("doc_id", "total", "bands", "sig"), "doc_id").alias("r")).select("k1", "k2", F.col("r.doc_id").alias("rep"), F.col("r.total").alias("total"), F.col("r.bands").alias("bands"), F.col("r.sig").alias("sig")), "neardup-reps")
+    reps = materialise(has.groupBy("k1", "k2").agg(F.min_by(F.struct("doc_id", "total", "bands"), "doc_id").alias("r")).select("k1", "k2", F.col("r.doc_id").alias("rep"), F.col("r.total").alias("total"), F.col("r.bands").alias("bands")), "neardup-reps")
     shared = buckets(reps)
-    roots = components(_links(src, materialise(candidates(shared), "neardup-pairs")))
-    more = materialise(unsettled(shared, roots, reps.select("rep", "sig")), "neardup-pairs")
-    if not more.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_links(src, more)))
+    pairs = materialise(candidates(shared), "neardup-pairs")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    roots = components(verified(pairs, materialise(bag_bytes(src, ids).dropDuplicates(["id"]), "neardup-bags")))
+    open_ = materialise(crowds(shared, roots), "neardup-members")
+    if not open_.isEmpty():
+        ids = open_.select(F.col("rep").alias("id")).distinct()
+        more = settled(open_, materialise(bag_bytes(src, ids, True).dropDuplicates(["id"]), "neardup-bags"))
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = reps.select("k1", "k2", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.col("rep").alias("copy_of"), F.coalesce("root", "rep").alias("class_id"))
     one = has.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "class_id", "copy_of")
     none = F.lit(None).cast("long")
