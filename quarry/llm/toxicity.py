@@ -171,11 +171,11 @@ class Boosted:
 
 
 def isotonic(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators; breakpoints and values for linear interpolation."""
-    order = np.argsort(z, kind="stable")
+    """Pool adjacent violators; breakpoints and values for linear interpolation. Equal z are one block from the start, in whatever order they come."""
+    values, at = np.unique(z, return_inverse=True)
     blocks: list[list[float]] = []  # sum, n, low, high
-    for a, v in zip(z[order].tolist(), y[order].tolist()):
-        blocks.append([v, 1, a, a])
+    for a, v, n in zip(values.tolist(), np.bincount(at, y).tolist(), np.bincount(at).tolist()):
+        blocks.append([v, n, a, a])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             s, n, _, hi = blocks.pop()
             blocks[-1][0] += s
@@ -260,9 +260,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample:
             x = [features(t, without[k]) for t, k in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_pydict({"y": b.column(1), "part": b.column(2), "x": pa.array(x, pa.list_(pa.float64()))})
 
-    rest = rows.mapInArrow(feats, "y int, part int, x array<double>").collect()
-    x = np.asarray([r.x for r in rest], float).reshape(len(rest), len(NAMES))
-    yy, part = np.asarray([r.y for r in rest], float), np.asarray([r.part for r in rest])
+    # sorted: sums of doubles, and so the model, do not depend on the order in which tasks end
+    rest = sorted((r.part, r.y, r.x) for r in rows.mapInArrow(feats, "y int, part int, x array<double>").collect())
+    x = np.asarray([r[2] for r in rest], float).reshape(len(rest), len(NAMES))
+    yy, part = np.asarray([r[1] for r in rest], float), np.asarray([r[0] for r in rest])
     z = np.zeros(len(yy))
     for k in range(PARTS):
         if (part == k).any() and (part != k).any():
