@@ -19,3 +19,7 @@ class TableMissing(EngineError):
 
 class ConstraintViolation(EngineError):
     code = "23000"
+
+
+class WriteConflict(EngineError):
+    code = "40001"

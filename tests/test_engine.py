@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import types as T
 
 from quarry import Engine, TableExists, TableMissing, ddl_type
-from quarry.errors import ConstraintViolation, SyntaxProblem
+from quarry.errors import ConstraintViolation, SyntaxProblem, WriteConflict
 from quarry.operators import access, joins
 from quarry.streaming import tumbling
 
@@ -51,6 +51,59 @@ def test_constraints_versions_and_reopen(spark, tmp_path):
     again.close()
 
 
+def test_insert_adds_a_folder_and_keeps_the_others(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "wh"))
+    e.sql("CREATE TABLE t (id BIGINT PRIMARY KEY, v TEXT NOT NULL)")
+    assert e.table("t").count() == 0 and e.insert("t", [(1, "a")]) == 1
+    first = {p: p.stat().st_mtime_ns for p in (tmp_path / "wh/t").rglob("part-*")}
+    narrow = spark.createDataFrame([("b", 2), ("c", 3)], "V string, id int")
+    assert e.insert("t", narrow) == 2
+    assert len(first) == 1 and all(p.stat().st_mtime_ns == t for p, t in first.items())
+    folders = lambda: {p.name for p in (tmp_path / "wh/t").glob("d*")}
+    before = folders()
+    for bad in ([(3, "again")], [(4, "x"), (4, "y")], [(5, None)]):
+        with pytest.raises(ConstraintViolation):
+            e.insert("t", bad)
+    with pytest.raises(SyntaxProblem):
+        e.insert("t", spark.createDataFrame([(1,)], "id long"))
+    with pytest.raises(ConstraintViolation):
+        e.update("t", {"id": 7})
+    assert folders() == before and sorted(tuple(r) for r in e.table("t").collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    e.cluster("t", "id", partitions=1)
+    e.vacuum("t")
+    assert len(folders()) == 1 and [r.v for r in e.find("t", ID=2).collect()] == ["b"]
+    e.close()
+
+
+def test_two_writers_and_transactions(spark, tmp_path):
+    one = Engine(spark, str(tmp_path / "wh"))
+    one.sql("CREATE TABLE t (id INT)")
+    two = Engine(spark, str(tmp_path / "wh"))
+    one.insert("t", [(1,)])
+    with pytest.raises(WriteConflict):
+        two.insert("t", [(2,)])
+    assert [r.id for r in two.table("t").collect()] == [1]
+    two.insert("t", [(5,)])
+    two.delete("t", "id = 5")
+    with pytest.raises(WriteConflict):
+        one.insert("t", [(2,)])
+    with pytest.raises(ZeroDivisionError), one.transaction("t"):
+        one.insert("t", [(3,)])
+        one.delete("t", "id = 1")
+        1 / 0
+    with one.transaction("t"):
+        one.insert("t", [(4,)])
+    assert sorted(r.id for r in one.table("t").collect()) == [1, 4]
+    for i in range(15):
+        one.insert("t", [(10 + i,)])
+    one.close()
+    again = Engine(spark, str(tmp_path / "wh"))
+    assert again.table("t").count() == 17 and len(list((tmp_path / "wh/t/_log").glob("*.json"))) <= 12
+    again.drop_table("t")
+    assert not (tmp_path / "wh/t").exists()
+    again.close()
+
+
 def test_temp_table_and_insert_select(engine):
     engine.sql("CREATE TEMP TABLE s (a INT, b TEXT)")
     engine.sql("INSERT INTO s VALUES (1, 'p'), (2, 'q')")
