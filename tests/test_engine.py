@@ -1,6 +1,8 @@
 import datetime as dt
+import random
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry import Engine, TableExists, TableMissing, ddl_type
@@ -128,6 +130,20 @@ def test_as_of_ties_and_gaps(spark):
     assert got == {(1, 5, "e"), (1, 1, None), (2, 9, None)}
 
 
+def test_as_of_in_buckets_equals_one_window(spark):
+    r = random.Random(9)
+    some = lambda n: r.choice([None, *range(n)])
+    left = [(i, some(3), some(60)) for i in range(400)]
+    right = [(k, t, r.choice([None, f"{k}-{t}"])) for k in (None, 0, 1) for t in (None, *r.sample(range(60), 9))]
+    a, b = spark.createDataFrame(left, "i int, k int, t int"), spark.createDataFrame(right, "k int, rt int, v string")
+    want = set()
+    for i, k, t in left:
+        before = [x for x in right if None not in (k, t, x[1]) and x[0] == k and x[1] <= t]
+        want.add((i, k, t, max(before, key=lambda x: x[1])[2] if before else None))
+    for bucket in (None, lambda ts: F.floor(ts / 7), lambda ts: ts):
+        assert {tuple(x) for x in joins.as_of(a, b, ["k"], "t", "rt", ["v"], bucket).collect()} == want
+
+
 def test_stream_matches_batch(spark, sf, tmp_path):
     import shutil
 
