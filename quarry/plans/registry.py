@@ -307,7 +307,7 @@ def join_range(t):
 def join_as_of(t):
     e = t("events")
     p = e.filter("event_type = 'purchase'").groupBy("user_id", col("ts").alias("pts")).agg(F.max("value").alias("paid"))
-    return joins.as_of(e.select("event_id", "user_id", "ts"), p, ["user_id"], "ts", "pts", ["paid"], bucket=lambda ts: F.date_trunc("week", ts)).select("event_id", "paid")
+    return joins.as_of(e.select("event_id", "user_id", "ts"), p, ["user_id"], "ts", "pts", ["paid"], bucket=lambda ts: F.trunc(ts, "week")).select("event_id", "paid")
 
 
 # set operations
