@@ -1,16 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word trigram seeds, then Smith-Waterman alignment.
 
-Word trigrams of the test items are counted over all documents. Each item keeps
-as seeds its trigrams of low document frequency, and always the rarer half of
-them, so an item that was copied often keeps seeds too. Where a document has a
-seed, the words around it are aligned with the whole item; an alignment with at
-least `threshold` of the item's best score is a match, which copies with edited,
-dropped or inserted words still reach.
+Every trigram of a test item is a seed, however many documents have it. Where a
+document has a seed, the words around it are aligned with the whole item; an
+alignment with at least `threshold` of the item's best score is a match, which
+copies with edited, dropped or inserted words still reach. Before alignment a
+document and an item are only passed over where the words they share, counted
+as often as both have them, are too few for that score; words around a seed
+reach as far as an alignment of that score can.
 
 Test items are a small table; they go to the workers in blocks of at most
 `block_grams` trigrams (a documented bound), one pass over the documents a
 block. Documents are never joined with each other and nothing of them is
-collected but trigram counts of the items.
+collected.
 
 Edge cases: null texts are empty; words are \\w+ runs in lower case; items
 without words never match, items of one or two words match as such; a document
@@ -21,24 +22,26 @@ matches; empty tables give no rows. Other columns are not read.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of, mixed, slices
+from .common import docs_of, expand, mixed, slices
 from .words import Words
 
 WORD = re.compile(r"\w+")
 MATCH, MISS, GAP = 2, -1, -1
+#: Cells of a part's table of words, and seeds in items that a part has at most (one text may have more).
+CELLS, HITS = 1 << 24, 2_000_000
 
 
 class Index:
     """Items as word numbers, and their trigrams (fewer words where an item is shorter) as seeds with the places they have in items."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int = 3):
+    def __init__(self, items: list[tuple[int, str]], n: int = 3, threshold: float = 0.5):
         self.n = n
         texts = [t or "" for _, t in items]
         w = Words(texts)
@@ -47,31 +50,51 @@ class Index:
         spans = [(k, a, z) for (k, _), a, z in zip(items, w.per_text[:-1].tolist(), w.per_text[1:].tolist()) if z > a]
         self.keys = [k for k, _, _ in spans]
         self.items = [numbers[a:z] for _, a, z in spans]
-        self.seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.size = np.fromiter(map(len, self.items), np.int64, len(self.items))
+        self.least = np.maximum(1, np.ceil(MATCH * self.size * threshold - 1e-9)).astype(np.int64)  # the score of a match
+        self.lengths = {n, *(len(v) for v in self.items)}
+        self._cells(numbers, np.repeat(np.arange(len(spans)), self.size))
+        self._seeds()
+
+    def _cells(self, words: np.ndarray, item: np.ndarray) -> None:
+        """A cell for each word's first, second, ... standing in an item, as often as any item has it; each item's cells."""
+        rank = _ranks(item * (len(self.vocab) + 1) + words)
+        self.most = np.zeros(len(self.vocab) + 1, np.int64)
+        np.maximum.at(self.most, words, rank + 1)
+        self.base = np.cumsum(self.most) - self.most
+        self.cells = self.base[words] + rank
+        self.cells_at = np.append(0, np.cumsum(self.size))
+
+    def _seeds(self) -> None:
+        """Distinct grams, ascending; of each its entries: item, place in it, and the words that a document must share with the item."""
+        cols = [[np.zeros(0, np.uint64)], *([np.zeros(0, np.int64)] for _ in range(3))]
         for i, v in enumerate(self.items):
-            for p, g in enumerate(self.grams(v).tolist()):
-                self.seeds[g].append((i, p))
-        self._sort()
-
-    def _sort(self) -> None:
-        self.sorted = np.fromiter(sorted(self.seeds), np.uint64, len(self.seeds))
-
-    def grams(self, w: np.ndarray, n: int = 0) -> np.ndarray:
-        """A hash for each n-gram of word numbers; n: the item's own by default."""
+            for g, at, need in self._seeds_of(i, v):
+                for c, x in zip(cols, (g, np.full(len(g), i), at, np.full(len(g), need))):
+                    c.append(x)
+        gram, item, at, need = map(np.concatenate, cols)
+        order = np.argsort(gram, kind="stable")
+        self.item, self.at, self.need = item[order], at[order], need[order]
+        self.sorted, first = np.unique(gram[order], return_index=True)
+        self.first = np.append(first, len(gram))
+        self.mask = np.uint64((1 << max(10, (16 * len(gram)).bit_length())) - 1)
+        self.maybe = np.zeros(int(self.mask) + 1, bool)
+        self.maybe[self.sorted & self.mask] = True
+
+    def _seeds_of(self, i: int, v: np.ndarray):
+        """(grams, places, shared words needed): a score is at most MATCH for each shared word."""
+        g = self.grams(v)
+        yield g, np.arange(len(g)), -(-self.least[i] // MATCH)
+
+    def grams(self, w: np.ndarray, n: int = 0, at: np.ndarray | None = None) -> np.ndarray:
+        """A hash for each n-gram of word numbers, or those at the given places; n: the item's own by default."""
         n = n or min(self.n, len(w))
-        g = np.full(max(0, len(w) - n + 1), n, np.uint64)
+        at = np.arange(max(0, len(w) - n + 1)) if at is None else at
+        g = np.full(len(at), n, np.uint64)
         for k in range(n):
-            g = mixed(g * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - n + 1 + k].astype(np.uint64))
+            g = mixed(g * np.uint64(0x9E3779B97F4A7C15) + w[at + k].astype(np.uint64))
         return g
 
-    def keep_rare(self, df: dict[int, int], rare: int) -> None:
-        good: set[int] = set()
-        for w in self.items:
-            own = sorted(set(self.grams(w).tolist()), key=lambda g: (df.get(g, 0), g))
-            good |= {g for k, g in enumerate(own) if 2 * k < len(own) or df.get(g, 0) <= rare}
-        self.seeds = {g: self.seeds[g] for g in good}
-        self._sort()
-
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts end to end (0: not in any item), and n + 1 offsets."""
         w = Words(texts)
@@ -80,33 +103,73 @@ class Index:
         return np.where(hit, at + 1, 0).astype(np.int32), w.per_text
 
     def places(self, w: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, position in the text, gram) of each seed in the numbered texts."""
+        """(text, position in the text, number of the seed) of each seed in the numbered texts, by text."""
         known, out = w > 0, []
         text = np.repeat(np.arange(len(off) - 1), np.diff(off))
         for n in range(1, self.n + 1):
-            if len(w) < n or n < self.n and not any(len(v) == n for v in self.items):
+            if len(w) < n or n not in self.lengths:
                 continue
             m = len(w) - n + 1
             run = known[:m] & (text[:m] == text[n - 1 :])
             for k in range(1, n):
                 run &= known[k : m + k]
             p = np.flatnonzero(run)
-            g = self.grams(w, n)[p]
+            g = self.grams(w, n, p)
+            some = self.maybe[g & self.mask]
+            p, g = p[some], g[some]
             at = np.minimum(np.searchsorted(self.sorted, g), max(0, len(self.sorted) - 1))
             hit = self.sorted[at] == g if len(self.sorted) else np.zeros(len(g), bool)
             p = p[hit]
-            out.append((text[p], p - off[text[p]], g[hit]))
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+            out.append((text[p], p - off[text[p]], at[hit]))
+        if not out:
+            return (np.zeros(0, np.int64),) * 3
+        t, p, k = (np.concatenate(x) for x in zip(*out))
+        order = np.argsort(t, kind="stable")
+        return t[order], p[order], k[order]
+
+    def shared(self, w: np.ndarray, off: np.ndarray, text: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """For pairs of a text and an item the words they share, each as often as both have it."""
+        own = np.repeat(np.arange(len(off) - 1), np.diff(off))
+        p = np.flatnonzero(w > 0)
+        own, words = own[p], w[p]
+        rank = np.zeros(len(words), np.int64)
+        several = np.flatnonzero(self.most[words] > 1)
+        rank[several] = _ranks(own[several] * (len(self.vocab) + 1) + words[several])
+        use = rank < self.most[words]
+        width = int(self.most.sum())
+        there = np.zeros((len(off) - 1) * width, bool)
+        there[own[use] * width + self.base[words[use]] + rank[use]] = True
+        n = self.size[item]
+        hit = there[np.repeat(text * width, n) + self.cells[expand(self.cells_at[item], n)]]
+        return np.add.reduceat(hit, np.cumsum(n) - n, dtype=np.int64) if len(n) else np.zeros(0, np.int64)
 
     def windows(self, w: np.ndarray, off: np.ndarray):
         """(text, item, start, end): the stretches to align with items that have a seed there, without overlaps."""
+        t, p, k = self.places(w, off)
+        n = self.first[k + 1] - self.first[k]
+        before = np.append(0, np.cumsum(n))[np.searchsorted(t, np.arange(len(off)))]  # entries before each text
+        rows = max(1, CELLS // max(1, int(self.most.sum())))
+        lo = 0
+        while lo < len(off) - 1:
+            hi = max(lo + 1, min(lo + rows, int(np.searchsorted(before, before[lo] + HITS, "right")) - 1))
+            a, z = np.searchsorted(t, [lo, hi])
+            if z > a:
+                yield from self._windows(w[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], lo, t[a:z] - lo, p[a:z], k[a:z])
+            lo = hi
+
+    def _windows(self, w: np.ndarray, off: np.ndarray, base: int, t: np.ndarray, p: np.ndarray, k: np.ndarray):
+        n = self.first[k + 1] - self.first[k]
+        e = expand(self.first[k], n)
+        pair, inv = np.unique(np.repeat(t, n) * len(self.items) + self.item[e], return_inverse=True)
+        use = np.flatnonzero(self.shared(w, off, pair // len(self.items), pair % len(self.items))[inv.reshape(-1)] >= self.need[e])
+        start, pair = (np.repeat(p, n) - self.at[e])[use], pair[inv.reshape(-1)[use]]
         found = defaultdict(set)
-        for t, p, g in zip(*(x.tolist() for x in self.places(w, off))):
-            for i, q in self.seeds[g]:
-                found[t, i].add(p - q)
-        for (t, i), starts in found.items():
+        for x, s in zip(pair.tolist(), start.tolist()):
+            found[x].add(s)
+        for x, starts in found.items():
+            t, i = divmod(x, len(self.items))
             m, size = len(self.items[i]), int(off[t + 1] - off[t])
-            pad = m // 4 + 5
+            pad = max(0, MATCH * m - int(self.least[i]))  # each word more or less costs one point
             spans: list[list[int]] = []
             for s in sorted(starts):
                 a, z = max(0, s - pad), min(size, s + m + pad)
@@ -115,7 +178,16 @@ class Index:
                 else:
                     spans.append([a, z])
             for a, z in spans:
-                yield t, i, a, z
+                yield base + t, i, a, z
+
+
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each."""
+    order = np.argsort(x, kind="stable")
+    new = np.flatnonzero(np.diff(x[order], prepend=-1))
+    out = np.empty(len(x), np.int64)
+    out[order] = np.arange(len(x)) - np.repeat(new, np.diff(np.append(new, len(x))))
+    return out
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,12 +233,12 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return best, end
 
 
-def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.5, rare_share: float = 1e-3, block_grams: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.5, block_grams: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, end_word): documents that hold a test item, and where the best alignment ends."""
     src = docs_of(docs, id_col, text_col)
     out = None
-    for index in _blocks(items.select(F.col(item_col).alias("k"), F.col(item_text).cast("string").alias("t")), block_grams):
-        one = _against(src, index, threshold, rare_share)
+    for index in _blocks(items.select(F.col(item_col).alias("k"), F.col(item_text).cast("string").alias("t")), block_grams, threshold):
+        one = _against(src, index, threshold)
         out = one if out is None else out.unionByName(one)
     return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
 
@@ -174,35 +246,20 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.5, rare_shar
 SCHEMA = "doc_id long, item_id long, score double, end_word long"
 
 
-def _blocks(items: DataFrame, block_grams: int):
+def _blocks(items: DataFrame, block_grams: int, threshold: float):
     """Items as indexes of bounded size."""
     own, size = [], 0
     for r in items.orderBy("k").toLocalIterator():
         own.append((r.k, r.t))
         size += len(WORD.findall(r.t or ""))
         if size >= block_grams:
-            yield Index(own)
+            yield Index(own, threshold=threshold)
             own, size = [], 0
     if own:
-        yield Index(own)
-
-
-def _against(src: DataFrame, index: Index, threshold: float, rare_share: float) -> DataFrame:
-    def count(batches):
-        df: Counter = Counter()
-        n = 0
-        for whole in batches:
-            n += whole.num_rows
-            for b in slices(whole, limit=2_000_000):
-                t, _, g = index.places(*index.numbers(b.column(0).to_pylist()))
-                df.update(g[np.unique(np.stack([t.astype(np.uint64), g]), axis=1, return_index=True)[1]].tolist())
-        grams = np.asarray([0, *df], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_pydict({"rows": pa.array([True, *[False] * len(df)]), "gram": pa.array(grams), "n": pa.array([n, *df.values()], pa.int64())})
+        yield Index(own, threshold=threshold)
 
-    counted = src.select("text").mapInArrow(count, "rows boolean, gram long, n long").groupBy("rows", "gram").agg(F.sum("n").alias("n")).collect()
-    total = sum(r.n for r in counted if r.rows)
-    index.keep_rare({r.gram % (1 << 64): r.n for r in counted if not r.rows}, int(rare_share * total))
 
+def _against(src: DataFrame, index: Index, threshold: float) -> DataFrame:
     def run(batches):
         for whole in batches:
             for b in slices(whole, limit=2_000_000):

@@ -113,3 +113,23 @@ def test_decontaminate_edited_copies_and_edge_cases(spark):
     assert {x.doc_id for x in dc.drop_contaminated(df, items).collect()} == {2, 3, None, *range(10, 30)}
     assert dc.matches(df, items.limit(0)).count() == 0 and dc.matches(df.limit(0), items).count() == 0
     assert {(x.doc_id, x.item_id) for x in dc.matches(df, items, block_grams=2).collect()} == got
+
+
+def test_thousands_of_edited_copies_are_all_found(spark):
+    r = random.Random(8)
+    item = [f"q{k}" for k in range(40)]
+    copies = [" ".join(f"e{r.randrange(10**6)}" if k % 5 == 2 else w for k, w in enumerate(item)) for _ in range(3000)]
+    clean = [" ".join(f"n{r.randrange(10**4)}" for _ in range(50)) for _ in range(3000)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(copies + clean)], "doc_id long, text string").repartition(4)
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = dc.matches(df, items).collect()
+    assert sorted(x.doc_id for x in got) == list(range(3000)) and all(x.score >= 0.5 for x in got)
+
+
+def test_shared_words_are_counted_as_often_as_both_have_them():
+    r = random.Random(9)
+    index = dc.Index([(k, " ".join(r.choice("abcdef") for _ in range(r.randint(1, 12)))) for k in range(20)])
+    w, off = index.numbers([" ".join(r.choice("abcdefxyz") for _ in range(r.randint(0, 15))) for _ in range(30)])
+    t, i = (x.reshape(-1) for x in np.indices((30, 20)))
+    want = [sum(min((w[off[a] : off[a + 1]] == v).sum(), (index.items[b] == v).sum()) for v in set(index.items[b].tolist())) for a, b in zip(t, i)]
+    assert index.shared(w, off, t, i).tolist() == want
