@@ -1,12 +1,20 @@
-"""Benchmark decontamination: word trigram seeds, then Smith-Waterman alignment.
-
-Every trigram of a test item is a seed, however many documents have it. Where a
-document has a seed, the words around it are aligned with the whole item; an
-alignment with at least `threshold` of the item's best score is a match, which
-copies with edited, dropped or inserted words still reach. Before alignment a
-document and an item are only passed over where the words they share, counted
-as often as both have them, are too few for that score; words around a seed
-reach as far as an alignment of that score can.
+"""Benchmark decontamination: word n-gram seeds, then Smith-Waterman alignment.
+
+Every trigram and pair of words of a test item is a seed, however many documents
+have it, and so are a few single words. Where a document has a seed, the words
+around it are aligned with the whole item; an alignment with at least
+`threshold` of the item's best score is a match, which copies with edited,
+dropped or inserted words still reach. Before alignment a document and an item,
+and then a seed, are only passed over where the words shared by the item and the
+document or the words around the seed, counted as often as both have them, are
+too few for that score; words around a seed reach as far as an
+alignment of that score can. So all alignments of that score are found:
+
+With M matched words in runs of at most k, M / k - 1 edits or more stand between
+the runs, each at a cost of a point or more, so a score S takes at least
+k (S - 1) / (2 k - 1) shared words. Pairs need to be seeds only where that many
+are shared (k = 2), single words where S - 1 are (k = 1); and of an item's m
+words any m - S + 2 then hold a matched one, for which the rarest are taken.
 
 Test items are a small table; they go to the workers in blocks of at most
 `block_grams` trigrams (a documented bound), one pass over the documents a
@@ -39,7 +47,7 @@ CELLS, HITS = 1 << 24, 2_000_000
 
 
 class Index:
-    """Items as word numbers, and their trigrams (fewer words where an item is shorter) as seeds with the places they have in items."""
+    """Items as word numbers, and their n-grams (of n words and fewer; only the whole item where it is shorter than n) as seeds with the places they have in items."""
 
     def __init__(self, items: list[tuple[int, str]], n: int = 3, threshold: float = 0.5):
         self.n = n
@@ -52,7 +60,8 @@ class Index:
         self.items = [numbers[a:z] for _, a, z in spans]
         self.size = np.fromiter(map(len, self.items), np.int64, len(self.items))
         self.least = np.maximum(1, np.ceil(MATCH * self.size * threshold - 1e-9)).astype(np.int64)  # the score of a match
-        self.lengths = {n, *(len(v) for v in self.items)}
+        self.lengths: set[int] = set()
+        self.often = np.bincount(numbers)
         self._cells(numbers, np.repeat(np.arange(len(spans)), self.size))
         self._seeds()
 
@@ -82,9 +91,19 @@ class Index:
         self.maybe[self.sorted & self.mask] = True
 
     def _seeds_of(self, i: int, v: np.ndarray):
-        """(grams, places, shared words needed): a score is at most MATCH for each shared word."""
-        g = self.grams(v)
-        yield g, np.arange(len(g)), -(-self.least[i] // MATCH)
+        """(grams, places, shared words needed): a score is at most MATCH for each shared word, and less where runs are short."""
+        top = min(self.n, len(v))
+        for k in range(top, 0 if top == self.n else top - 1, -1):
+            need = -(-int(self.least[i]) // MATCH)
+            if k < top:
+                need = max(need, -(-k * (int(self.least[i]) - 1) // (MATCH * k - 1)))
+            if need > len(v):
+                continue
+            at = np.arange(len(v) - k + 1)
+            if k == 1 and top > 1:
+                at = np.argsort(self.often[v], kind="stable")[: len(v) - need + 1]
+            self.lengths.add(k)
+            yield self.grams(v, k)[at], at, need
 
     def grams(self, w: np.ndarray, n: int = 0, at: np.ndarray | None = None) -> np.ndarray:
         """A hash for each n-gram of word numbers, or those at the given places; n: the item's own by default."""
@@ -161,18 +180,26 @@ class Index:
         n = self.first[k + 1] - self.first[k]
         e = expand(self.first[k], n)
         pair, inv = np.unique(np.repeat(t, n) * len(self.items) + self.item[e], return_inverse=True)
-        use = np.flatnonzero(self.shared(w, off, pair // len(self.items), pair % len(self.items))[inv.reshape(-1)] >= self.need[e])
-        start, pair = (np.repeat(p, n) - self.at[e])[use], pair[inv.reshape(-1)[use]]
+        inv = inv.reshape(-1)
+        both = self.shared(w, off, pair // len(self.items), pair % len(self.items))[inv]
+        use = np.flatnonzero(both >= self.need[e])
+        pair, need, start = pair[inv[use]], self.need[e[use]], (np.repeat(p, n) - self.at[e])[use]
+        t, i = pair // len(self.items), pair % len(self.items)
+        pad = np.maximum(0, MATCH * both[use] - self.least[i])  # each word more or less costs one point
+        a, z = np.maximum(0, start - pad), np.minimum(off[t + 1] - off[t], start + self.size[i] + pad)
+        near, rows = [np.zeros(0, bool)], max(1, CELLS // max(1, int(self.most.sum())))
+        for x in range(0, len(a), rows):
+            k = slice(x, x + rows)
+            at = expand((off[t] + a)[k], (z - a)[k])
+            near.append(self.shared(w[at], np.append(0, np.cumsum((z - a)[k])), np.arange(len(a[k])), i[k]) >= need[k])
+        near = np.concatenate(near)
         found = defaultdict(set)
-        for x, s in zip(pair.tolist(), start.tolist()):
-            found[x].add(s)
-        for x, starts in found.items():
+        for x, s, y in zip(pair[near].tolist(), a[near].tolist(), z[near].tolist()):
+            found[x].add((s, y))
+        for x, places in found.items():
             t, i = divmod(x, len(self.items))
-            m, size = len(self.items[i]), int(off[t + 1] - off[t])
-            pad = max(0, MATCH * m - int(self.least[i]))  # each word more or less costs one point
             spans: list[list[int]] = []
-            for s in sorted(starts):
-                a, z = max(0, s - pad), min(size, s + m + pad)
+            for a, z in sorted(places):
                 if spans and a <= spans[-1][1]:
                     spans[-1][1] = max(z, spans[-1][1])
                 else:

@@ -133,3 +133,40 @@ def test_shared_words_are_counted_as_often_as_both_have_them():
     t, i = (x.reshape(-1) for x in np.indices((30, 20)))
     want = [sum(min((w[off[a] : off[a + 1]] == v).sum(), (index.items[b] == v).sum()) for v in set(index.items[b].tolist())) for a, b in zip(t, i)]
     assert index.shared(w, off, t, i).tolist() == want
+
+
+def found_in(index, texts, threshold):
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    return {(x["doc_id"], x["item_id"]): x["score"] for x in dc._matches_in(b, index, threshold).to_pylist()}
+
+
+def test_copies_without_three_words_in_a_row_are_found():
+    for n, changed in ((8, 2), (14, 4), (38, 12)):
+        item = [f"q{k}" for k in range(n)]
+        doc = ["x"] * 100 + [f"e{k}" if k % 3 == 2 else w for k, w in enumerate(item)] + ["y"] * 100
+        assert sum(a != b for a, b in zip(item, doc[100:])) == changed
+        got = found_in(dc.Index([(1, " ".join(item))]), [" ".join(doc)], 0.5)
+        assert got.keys() == {(0, 1)} and got[0, 1] == smith_waterman(item, doc) / (2 * n) >= 0.5
+    item = [f"q{k}" for k in range(20)]
+    spread = " ".join(f"{w} e{k}" for k, w in enumerate(item))
+    assert found_in(dc.Index([(1, " ".join(item))]), [spread], 0.5) == {(0, 1): 21 / 40}
+
+
+def test_all_alignments_of_the_threshold_are_found():
+    r = random.Random(11)
+    reached = 0
+    for threshold in (0.3, 0.5, 0.6, 0.8):
+        words = [f"w{k}" for k in range(30)]
+        items = [[r.choice(words) for _ in range(r.randint(3, 25))] for _ in range(25)]
+        docs = []
+        for v in items * 4:
+            edited = []
+            for w in v:
+                edited += r.choice([[w], [w], [w], [w], ["e"], [], [w, "e"], ["e", w]])
+            docs.append([r.choice([*words, "e"]) for _ in range(r.randint(0, 40))] + edited + [r.choice(words) for _ in range(r.randint(0, 40))])
+        want = {(a, b): s / (2 * len(v)) for a, d in enumerate(docs) for b, v in enumerate(items) if (s := smith_waterman(v, d)) >= 2 * len(v) * threshold}
+        assert found_in(dc.Index([(k, " ".join(v)) for k, v in enumerate(items)], threshold=threshold), [" ".join(d) for d in docs], threshold) == want
+        reached += len(want)
+    assert reached > 300
