@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import docs_of, hadoop, slices
-from .tokens import Pieces, encoder
+from .tokens import chunks, encoder
 
 KEYS = ["source", "lang", "tokenizer"]
 
@@ -32,20 +32,12 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, str], id_col: str = "doc
     def run(batches):
         for whole in batches:
             for b in slices(whole):
-                texts = b.column(1).to_pylist()
-                per = [[] for _ in tokenizers]
-                i = 0
-                while i < len(texts):
-                    size, j = len(texts[i]), i + 1
-                    while j < len(texts) and size + len(texts[j]) <= 1_000_000:
-                        size += len(texts[j])
-                        j += 1
-                    p = Pieces(texts[i:j])  # one split serves all vocabularies
+                per = np.zeros((len(tokenizers), b.num_rows), np.int64)
+                for c in chunks(b.column(1).to_pylist()):  # one split serves all vocabularies
                     for out, path in zip(per, tokenizers.values()):
-                        out.append(encoder(path, False).counts_of(p))
-                    i = j
+                        encoder(path, False).add_counts(c, out)
                 for name, out in zip(tokenizers, per):
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([name] * b.num_rows, pa.string()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))], names=["doc_id", "source", "lang", "tokenizer", "tokens"])
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([name] * b.num_rows, pa.string()), pa.array(out)], names=["doc_id", "source", "lang", "tokenizer", "tokens"])
 
     src = docs_of(docs, id_col, text_col, F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
     return src.mapInArrow(run, "doc_id long, source string, lang string, tokenizer string, tokens long")

@@ -4,24 +4,35 @@ A text falls into pieces by the vocabulary's split pattern. The pieces of many
 texts are found at once with array operations on code points, equal pieces are
 encoded once, and ids are gathered for all of them. The result equals that of
 encoding each text on its own.
+
+Pieces are equal where two 64-bit hashes are, each a sum of mixed (place, code
+point) pairs under a key drawn at random in each process. Where pieces agree in
+the first hash and not in the second, everything known is forgotten and a new
+key drawn. New pieces go straight to the byte-pair core, not through the
+pattern again, so a piece may be of any length. Texts longer than a chunk are
+cut where a letter or digit meets a space, which every split does too.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import os
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
 import regex
 import tiktoken
 
-from .common import expand
+from .common import expand, mixed
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 SPECIAL = "<|endoftext|>"
 _BASE = 0x9E3779B97F4A7C15 | 1
 _CHUNK = 1_000_000
+_CUT = regex.compile(r"[\p{L}\p{N}](?= )")
 #: Distinct pieces that an encoder remembers; beyond it starts afresh.
 REMEMBER = 1_000_000
 
@@ -47,18 +58,30 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def place_hashes(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int) -> np.ndarray:
+    """A mixed 64-bit value for each (place in its run, code point); runs are starts to ends, ascending."""
+    bounds = np.concatenate([[0], np.stack([starts, ends], 1).ravel(), [len(cps)]])
+    v = np.arange(len(cps), dtype=np.int64) - np.repeat(bounds[:-1], np.diff(bounds))
+    v <<= 21  # a code point has 21 bits
+    v |= cps
+    return mixed(v.view(np.uint64) * np.uint64(_BASE) ^ np.uint64(key))
+
+
 class Pieces:
-    """Where the split pattern cuts the given texts, and a hash of each piece."""
+    """Where the split pattern cuts the given texts, and two hashes of each piece under a key."""
+
+    key = int.from_bytes(os.urandom(8), "little")
 
     def __init__(self, texts: list[str]):
         self.joined = "".join(texts)
+        self.hashed = None
         self.lens = np.fromiter(map(len, texts), np.int64, len(texts))
         cps = np.frombuffer(self.joined.encode("utf-32-le"), "<u4")
         n = len(cps)
         ends = np.cumsum(self.lens)
         if not n:
             self.starts = self.ends = np.zeros(0, np.int64)
-            self.hashes = np.zeros(0, np.uint64)
+            self.cps = cps
             self.per_text = np.zeros(len(texts) + 1, np.int64)
             return
         cls = _classes()[cps]
@@ -80,16 +103,23 @@ class Pieces:
         self._contractions(cps, cls, first, after_space, start)
         self.starts = np.flatnonzero(start)
         self.ends = np.append(self.starts[1:], n)
-        pw, inv = _powers(1 << max(20, int(n).bit_length()))
-        v = (cps.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        v ^= v >> np.uint64(32)
-        v *= pw[:n]
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(v, out=total[1:])
-        self.hashes = (total[self.ends] - total[self.starts]) * inv[self.starts]
-        self.hashes ^= (self.ends - self.starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+        self.cps = cps
         self.per_text = np.append(0, np.searchsorted(self.starts, ends))
 
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of all pieces under the class's present key."""
+        if self.hashed and self.hashed[0] == Pieces.key:
+            return self.hashed[1]
+        if not len(self.starts):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        v = place_hashes(self.cps, self.starts, self.ends, Pieces.key)
+        first = np.add.reduceat(v, self.starts)
+        v ^= v >> np.uint64(29)
+        v *= np.uint64(0xA0761D6478BD642F)
+        v ^= v >> np.uint64(32)
+        self.hashed = Pieces.key, (first, np.add.reduceat(v, self.starts))
+        return self.hashed[1]
+
     @staticmethod
     def _contractions(cps, cls, first, after_space, start) -> None:
         """'s 't 'm 'd 're 've 'll, where the apostrophe opens a piece."""
@@ -111,6 +141,41 @@ class Pieces:
             start[end[end < n]] = True
 
 
+@dataclass
+class Chunk:
+    """Segments of texts: the text of each, their pieces, and (segment, id) of those that are a special string."""
+
+    owner: np.ndarray
+    pieces: Pieces
+    special: list[tuple[int, int]]
+
+
+def chunks(texts: list[str], special: dict[str, int] | None = None) -> Iterator[Chunk]:
+    """Texts in parts of about _CHUNK characters; in a part a special string's segment is empty."""
+    mark = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+    owner, segments, odd, size = [], [], [], 0
+    for i, t in enumerate(texts):
+        for k, part in enumerate(mark.split(t) if mark and any(s in t for s in special) else (t,)):
+            if k % 2:
+                odd.append((len(segments), special[part]))
+                owner.append(i)
+                segments.append("")
+                continue
+            at = 0
+            while at < len(part):
+                cut = _CUT.search(part, at + _CHUNK) if len(part) - at > _CHUNK else None
+                end = cut.end() if cut else len(part)
+                if size and size + end - at > _CHUNK:
+                    yield Chunk(np.asarray(owner, np.int64), Pieces(segments), odd)
+                    owner, segments, odd, size = [], [], [], 0
+                owner.append(i)
+                segments.append(part[at:end])
+                size += end - at
+                at = end
+    if segments:
+        yield Chunk(np.asarray(owner, np.int64), Pieces(segments), odd)
+
+
 class Encoder:
     """Ids of one vocabulary, with the ids of pieces seen before."""
 
@@ -123,7 +188,9 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known = np.zeros(0, np.uint64)  # hashes, ascending
+        self.key = Pieces.key
+        self.known = np.zeros(0, np.uint64)  # first hashes, ascending
+        self.check = np.zeros(0, np.uint64)  # each one's second hash
         self.place = np.zeros(0, np.int64)  # each one's row in off and cnt
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
@@ -132,28 +199,40 @@ class Encoder:
 
     def _index(self, p: Pieces) -> np.ndarray:
         """For each piece its row in the table of known pieces."""
-        if len(self.known) > REMEMBER:
+        while (out := self._try(p)) is None:
+            Pieces.key = int.from_bytes(os.urandom(8), "little")
+        return out
+
+    def _try(self, p: Pieces) -> np.ndarray | None:
+        """None where two pieces share their first hash only."""
+        if len(self.known) > REMEMBER or self.key != Pieces.key:
             self._reset()
-        order = np.argsort(p.hashes)
-        h = p.hashes[order]
+        hashes, checks = p.hashes()
+        order = np.argsort(hashes)
+        h, c = hashes[order], checks[order]
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
-        each = h[new]
+        if (~new[1:] & (c[1:] != c[:-1])).any():
+            return None
+        each, check = h[new], c[new]
         at = np.searchsorted(self.known, each)
         hit = np.zeros(len(each), bool)
         if len(self.known):
-            hit = self.known[np.minimum(at, len(self.known) - 1)] == each
+            near = np.minimum(at, len(self.known) - 1)
+            hit = self.known[near] == each
+            if (hit & (self.check[near] != check)).any():
+                return None
         if not hit.all():
             miss = np.flatnonzero(~hit)
             first = order[np.flatnonzero(new)[miss]]
-            joined, encode = p.joined, self.core.encode_ordinary
-            self._learn(each[miss], at[miss], [encode(joined[s:e]) for s, e in zip(p.starts[first].tolist(), p.ends[first].tolist())])
+            joined, encode = p.joined, self.core._core_bpe.encode_single_piece
+            self._learn(each[miss], check[miss], at[miss], [encode(joined[s:e].encode()) for s, e in zip(p.starts[first].tolist(), p.ends[first].tolist())])
             at = np.searchsorted(self.known, each)
         out = np.empty(len(h), np.int64)
         out[order] = self.place[at][np.cumsum(new) - 1]
         return out
 
-    def _learn(self, hashes: np.ndarray, at: np.ndarray, fresh: list[list[int]]) -> None:
+    def _learn(self, hashes: np.ndarray, checks: np.ndarray, at: np.ndarray, fresh: list[list[int]]) -> None:
         had = len(self.off)
         cnt = np.fromiter(map(len, fresh), np.int64, len(fresh))
         ids = np.fromiter((x for f in fresh for x in f), np.uint32, int(cnt.sum()))
@@ -164,56 +243,39 @@ class Encoder:
         self.cnt = np.append(self.cnt, cnt)
         self.used += len(ids)
         self.known = np.insert(self.known, at, hashes)
+        self.check = np.insert(self.check, at, checks)
         self.place = np.insert(self.place, at, np.arange(had, had + len(fresh)))
 
-    def _parts(self, texts: list[str]):
-        """Texts in chunks, each with the special strings' own pieces apart."""
-        i = 0
-        while i < len(texts):
-            size, j = len(texts[i]), i + 1
-            while j < len(texts) and size + len(texts[j]) <= _CHUNK:
-                size += len(texts[j])
-                j += 1
-            yield texts[i:j]
-            i = j
-
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
-        out = [np.zeros(0, np.int64)]
-        for part in self._parts(texts):
-            p = Pieces(part)
-            out.append(self.counts_of(p))
-            for k in self._special(part):
-                out[-1][k] = len(self.core.encode(part[k], allowed_special="all"))
-        return np.concatenate(out)
-
-    def counts_of(self, p: Pieces) -> np.ndarray:
-        at = self._index(p) if len(p.starts) else np.zeros(0, np.int64)
-        total = np.append(0, np.cumsum(self.cnt[at]))
-        return np.diff(total[p.per_text])
-
-    def _special(self, part: list[str]) -> list[int]:
-        return [k for k, t in enumerate(part) if any(s in t for s in self.special)] if self.special else []
+        out = np.zeros(len(texts), np.int64)
+        for c in chunks(texts, self.special):
+            self.add_counts(c, out)
+        return out
+
+    def add_counts(self, c: Chunk, out: np.ndarray) -> None:
+        """Adds a chunk's tokens to its texts' counts."""
+        np.add.at(out, c.owner, self._per_segment(c, self._index(c.pieces)))
+
+    def _per_segment(self, c: Chunk, at: np.ndarray) -> np.ndarray:
+        per = np.diff(np.append(0, np.cumsum(self.cnt[at]))[c.pieces.per_text])
+        for k, _ in c.special:
+            per[k] = 1
+        return per
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and n + 1 offsets."""
-        flats, lens = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for part in self._parts(texts):
-            odd = self._special(part)
-            if odd:
-                each = [np.asarray(self.core.encode(t, allowed_special="all"), np.uint32) for t in part]
-                flats += each
-                lens.append(np.fromiter(map(len, each), np.int64, len(each)))
-                continue
-            p = Pieces(part)
-            if not len(p.starts):
-                lens.append(np.zeros(len(part), np.int64))
-                continue
-            at = self._index(p)
-            c = self.cnt[at]
-            flats.append(self.flat[expand(self.off[at], c)])
-            lens.append(np.diff(np.append(0, np.cumsum(c))[p.per_text]))
-        return np.concatenate(flats), np.append(0, np.cumsum(np.concatenate(lens)))
+        flats, lens = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64)
+        for c in chunks(texts, self.special):
+            at = self._index(c.pieces)
+            per = self._per_segment(c, at)
+            np.add.at(lens, c.owner, per)
+            flat = self.flat[expand(self.off[at], self.cnt[at])]
+            if c.special:
+                where = (np.cumsum(per) - per)[[k for k, _ in c.special]]
+                flat = np.insert(flat, where - np.arange(len(where)), [x for _, x in c.special])
+            flats.append(flat)
+        return np.concatenate(flats), np.append(0, np.cumsum(lens))
 
 
 @functools.lru_cache(maxsize=4)

@@ -34,6 +34,50 @@ def test_ids_equal_the_tokenizers(plain):
     assert e.ids([])[1].tolist() == [0] and e.counts([]).tolist() == []
 
 
+def thue_morse(n, a="a", b="b"):
+    """Two texts of n letters, n a power of two, that polynomials modulo 2**64 cannot tell apart beyond 2,000 letters."""
+    s = "".join(b if i.bit_count() % 2 else a for i in range(n))
+    return s, s.translate(str.maketrans(a + b, b + a))
+
+
+def test_pieces_that_polynomial_hashes_confuse(plain):
+    for n in (2048, 8192):
+        texts = [*thue_morse(n), *thue_morse(n, "1", "2"), *thue_morse(n, "!", "?")]
+        for e in (Encoder(PATH), Encoder(PATH, {"<|endoftext|>": 50256})):
+            ids, off = e.ids(texts)
+            want = [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+            assert [ids[a:z].tolist() for a, z in zip(off, off[1:])] == want
+            assert e.counts(texts).tolist() == list(map(len, want))
+
+
+def test_long_runs_and_long_texts(plain):
+    """Runs of a million equal characters of each class, and texts beyond a chunk with special strings inside."""
+    r = random.Random(2)
+    runs = [c * 1_000_000 for c in (" ", "\n", "a", "7", "!", "\u3000")]
+    runs += [" " * 300_000 + "x" + "\t" * 300_000, "a" * 600_000 + "<|endoftext|>" + " " * 1_200_000 + "<|endoftext|>b", " ".join(r.choice(["alpha", "don't", "  ", "1234", "\n\n", "...", "<|endoftext|>"]) for _ in range(400_000))]
+    e = Encoder(PATH, {"<|endoftext|>": 50256})
+    for t in runs:
+        ids, off = e.ids(["ab", t, "", "c"])
+        want = plain.encode(t, add_special_tokens=False).ids
+        assert ids[off[1] : off[2]].tolist() == want and len(off) == 5 and e.counts([t]).tolist() == [len(want)]
+
+
+def test_a_shared_first_hash_draws_a_new_key(plain, monkeypatch):
+    from quarry.llm import tokens
+
+    real, calls = tokens.place_hashes, []
+
+    def weak(cps, starts, ends, key):
+        calls.append(key)
+        return real(cps, starts, ends, key) if len(set(calls)) > 1 else cps.astype(np.uint64)
+
+    monkeypatch.setattr(tokens, "place_hashes", weak)
+    e = Encoder(PATH)
+    for texts in (["ad", "xx"], ["bc", "ad"], ["bd", "ac"]):
+        ids, off = e.ids(texts)
+        assert [ids[a:z].tolist() for a, z in zip(off, off[1:])] == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+
+
 def cost_of(at, doc_ends, sentence_ends, window, sc, ic):
     total, last = 0, at[-1]
     for a, b in zip(at, at[1:]):
