@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,7 +15,7 @@ MASK = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Only where no checkpoint folder is set at all (local tests) one is made."""
+    """spark.checkpoint.dir of the session. Where no checkpoint folder is set at all, one is made in local mode only: a cluster has to name a shared one."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if where:
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(where)
         return where.rstrip("/")
     if not sc.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -35,7 +38,44 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends, and a lost executor loses nothing."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what materialise wrote for these frames; nothing may read them any more."""
+    for df in frames:
+        fs, p = hadoop(df.sparkSession, df.scratch_path)
+        fs.delete(p, True)
+
+
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores added until no column has them, in upper or lower case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def limit_of(rows: int) -> int:
+    """How many rows of one key a task may get: a 10,000th of all, and 1,000 at least."""
+    return max(1000, rows // 10_000)
+
+
+def spread(rows: DataFrame, table: DataFrame, key: str | list[str], limit: int) -> DataFrame:
+    """rows joined with a table that has one row for each key and its number of rows as cnt.
+
+    Keys with more than `limit` rows (see limit_of: 10,000 of them at most) are broadcast
+    and their rows not moved, so that no key's rows meet in one task.
+    """
+    key = [key] if isinstance(key, str) else key
+    hot = table.filter(F.col("cnt") > limit)
+    cold = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(table.filter(F.col("cnt") <= limit), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
 def hadoop(spark: SparkSession, path: str):

@@ -17,8 +17,8 @@ are shared (k = 2), single words where S - 1 are (k = 1); and of an item's m
 words any m - S + 2 then hold a matched one, for which the rarest are taken.
 
 Test items are a small table; they go to the workers in blocks of at most
-`block_grams` trigrams (a documented bound), one pass over the documents a
-block. Documents are never joined with each other and nothing of them is
+`block_grams` trigrams (a documented bound), each broadcast, one pass over the
+documents a block. Documents are never joined with each other and nothing of them is
 collected.
 
 Edge cases: null texts are empty; words are \\w+ runs in lower case; items
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of, expand, mixed, slices
+from .common import docs_of, expand, free, mixed, slices
 from .words import Words
 
 WORD = re.compile(r"\w+")
@@ -287,10 +287,12 @@ def _blocks(items: DataFrame, block_grams: int, threshold: float):
 
 
 def _against(src: DataFrame, index: Index, threshold: float) -> DataFrame:
+    shared = src.sparkSession.sparkContext.broadcast(index)  # bounded by block_grams
+
     def run(batches):
         for whole in batches:
             for b in slices(whole, limit=2_000_000):
-                yield _matches_in(b, index, threshold)
+                yield _matches_in(b, shared.value, threshold)
 
     return src.mapInArrow(run, SCHEMA)
 
@@ -320,5 +322,6 @@ def _matches_in(b: pa.RecordBatch, index: Index, threshold: float) -> pa.RecordB
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     """Rows of docs whose id has no match, with all their columns; rows with a null id are kept."""
-    bad = matches(docs, items, id_col=id_col, **kw).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col] == F.col("__bad"), "left_anti")
+    (name,) = free(docs.columns, "found_id")
+    bad = matches(docs, items, id_col=id_col, **kw).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, docs[id_col].cast("long") == F.col(name), "left_anti")

@@ -9,7 +9,8 @@ the rest are far enough from it that the sketch's error cannot matter.
 Edge cases: a null text is empty; a null site is no site; lines of spaces only
 are never boilerplate; an empty table gives no rows; repeated rows are treated
 alike; a document whose lines all go keeps an empty text. Other columns pass
-through unchanged, whatever their names.
+through unchanged, whatever their names; the two new columns get underscores
+added where docs has columns of their names, in upper or lower case.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free, materialise
 
 LG_K = 12  # 4096 registers: a standard error of 1.6 %
 
@@ -50,13 +51,15 @@ def boilerplate(docs: DataFrame, min_sites: int, text_col: str = "text", site_co
 def dedup_lines(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", margin: float = 0.25) -> DataFrame:
     """docs with boilerplate lines taken out of text_col, and two columns more: lines_total, lines_removed."""
     bad = boilerplate(docs, min_sites, text_col, site_col, margin)
-    row = [F.xxhash64(F.col(id_col), F.col(text_col)).alias("__r1"), F.xxhash64(F.lit(7), F.col(id_col), F.col(text_col)).alias("__r2")]
-    each = docs.select(*row, F.posexplode(_lines(F.col(text_col))).alias("__pos", "__line")).select("__r1", "__r2", "__pos", *_keys(F.col("__line")))
-    drop = each.join(bad, ["__h1", "__h2"], "left_semi").groupBy("__r1", "__r2").agg(F.collect_set("__pos").alias("__drop"))
-    tagged = docs.select("*", *row).join(drop, ["__r1", "__r2"], "left")
-    kept = F.array_join(F.filter(_lines(F.col(text_col)), lambda _, i: ~F.array_contains(F.col("__drop"), i)), "\n")
+    total, removed, r1, r2, gone = free(docs.columns, "lines_total", "lines_removed", "row_1", "row_2", "gone")
+    own = lambda c: F.col(f"`{c}`")
+    row = [F.xxhash64(own(id_col), own(text_col)).alias(r1), F.xxhash64(F.lit(7), own(id_col), own(text_col)).alias(r2)]
+    each = docs.select(*row, F.posexplode(_lines(own(text_col))).alias("__pos", "__line")).select(r1, r2, "__pos", *_keys(F.col("__line")))
+    drop = each.join(bad, ["__h1", "__h2"], "left_semi").groupBy(r1, r2).agg(F.collect_set("__pos").alias(gone))
+    tagged = docs.select("*", *row).join(drop, [r1, r2], "left")
+    kept = F.array_join(F.filter(_lines(own(text_col)), lambda _, i: ~F.array_contains(F.col(gone), i)), "\n")
     return tagged.select(
-        *[(F.when(F.col("__drop").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c)) for c in docs.columns],
-        F.size(_lines(F.col(text_col))).cast("long").alias("lines_total"),
-        F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("lines_removed"),
+        *[(F.when(F.col(gone).isNull(), own(c)).otherwise(kept).alias(c) if c == text_col else own(c)) for c in docs.columns],
+        F.size(_lines(own(text_col))).cast("long").alias(total),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(removed),
     )

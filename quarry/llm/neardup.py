@@ -13,10 +13,12 @@ chance to share none is (1 - 0.8**6)**42 < 3e-6. Texts with equal multisets are
 collapsed before; within a bucket candidates are all pairs where it holds at
 most SMALL texts, else each text with the bucket's centre and its neighbour.
 The centre is the text with most bucket mates overall: in a group of edited
-copies that is the text they were made from. Rows are linear in the input.
-Candidates are verified on whole multisets, and classes are the connected
-components of verified links, found by alternating large-star and small-star
-steps on tables in the shared folder.
+copies that is the text they were made from. A bucket with more than a 10,000th
+of all rows is dealt out in parts, each with neighbours of its own, and its
+centre is broadcast. Rows are linear in the input. Candidates are verified on
+whole multisets, and classes are the connected components of verified links,
+found by alternating large-star and small-star steps on tables in the shared
+folder, until all links are stars.
 
 Then larger buckets that still hold several components are settled. Buckets
 that share texts form crowds; in each, every text outside the crowd's main
@@ -29,21 +31,23 @@ and rows stay linear in the input.
 
 Edge cases: words are \\w+ runs in lower case; a text of one to four words is
 one shingle; texts without words are alike only if equal; a null text is
-empty; rows with a null id get a null class; rows with equal ids are one
-document and share its class; an empty table gives no rows. Other columns are
-not read.
+empty; rows with a null id get a null class; rows with equal ids and texts are
+one document, rows with equal ids and different texts are different ones, each
+with its own class (whose name, the least id in it, another class may then have
+too); an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import docs_of, expand, materialise, mixed, slices
+from .common import discard, docs_of, expand, free, limit_of, materialise, mixed, slices, spread
 from .words import Words
 
 SHINGLE = 5
@@ -116,12 +120,12 @@ def signatures(text: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, m: i
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, k1, k2, total, bands): a 128-bit key of the multiset, its size, and bucket keys (none for texts without words)."""
+    """(doc_id, t1, t2, k1, k2, total, bands): 128 bits of the text and of its multiset, the multiset's size, and bucket keys (none for texts without words)."""
 
     def run(batches):
         for whole in batches:
             for b in slices(whole, limit=2_000_000):
-                texts = b.column(1).to_pylist()
+                texts = b.column(3).to_pylist()
                 n = len(texts)
                 text, h, w = bags(*shingles(texts))
                 x = mixed(h + w.astype(np.uint64) * _K)
@@ -141,42 +145,67 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 size = np.where(total > 0, BANDS, 0)
                 flat = key.view(np.int64).reshape(-1)[np.repeat(total > 0, BANDS)]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(k.view(np.int64)) for k in keys), pa.array(total), lists], names=["doc_id", "k1", "k2", "total", "bands"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(k.view(np.int64)) for k in keys), pa.array(total), lists], names=["doc_id", "t1", "t2", "k1", "k2", "total", "bands"])
 
-    return docs_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, k1 long, k2 long, total long, bands array<long>")
+    return hashed(docs_of(docs, id_col, text_col)).mapInArrow(run, "doc_id long, t1 long, t2 long, k1 long, k2 long, total long, bands array<long>")
+
+
+def text_hashes(text: Column) -> list[Column]:
+    return [F.xxhash64(text), F.xxhash64(F.lit(7), text)]
+
+
+def hashed(src: DataFrame) -> DataFrame:
+    """(doc_id, t1, t2, text) from (doc_id, text)."""
+    return src.select("doc_id", *(h.alias(n) for h, n in zip(text_hashes(F.col("text")), ("t1", "t2"))), "text")
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """(rep, total, key, cnt) for every bucket of two or more, from (rep, total, bands)."""
+    """(rep, total, key, cnt, hot, part) for every bucket of two or more, from (rep, total, bands); a hot bucket is dealt out in parts."""
     rows = reps.select("rep", "total", F.explode("bands").alias("key"))
-    return materialise(rows.withColumn("cnt", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("cnt > 1"), "neardup-buckets")
+    counts = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("cnt")).filter("cnt > 1"), "neardup-counts")
+    limit = limit_of(BANDS * reps.count())
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("cnt") / limit)).cast("int")
+    out = materialise(spread(rows, counts, "key", limit).select("rep", "total", "key", "cnt", (F.col("cnt") > limit).alias("hot"), part.alias("part")), "neardup-buckets")
+    discard(counts)
+    return out
 
 
 def candidates(shared: DataFrame) -> DataFrame:
     """(a, b), a < b: all pairs of small buckets, centre and neighbour in larger ones."""
     mates = shared.groupBy("rep").agg(F.sum("cnt").alias("mates"))
-    w = Window.partitionBy("key").orderBy(F.desc("mates"), "rep")
+    w = Window.partitionBy("key", "part").orderBy(F.desc("mates"), "rep")
     me = F.struct("rep", "total")
     back = [F.lag(me, k).over(w) for k in range(1, SMALL)]
-    ranked = shared.join(mates, "rep").select("rep", "total", F.array(F.first(me).over(w.rowsBetween(Window.unboundedPreceding, 0)), back[0], *[F.when(F.col("cnt") <= SMALL, b) for b in back[1:]]).alias("others"))
+    known = shared.join(mates, "rep")
+    # at most 10,000 buckets are hot
+    centres = known.filter("hot").groupBy("key").agg(F.min_by(me, F.struct(-F.col("mates"), "rep")).alias("centre"))
+    ranked = known.join(F.broadcast(centres), "key", "left").select("rep", "total", F.array("centre", F.first(me).over(w.rowsBetween(Window.unboundedPreceding, 0)), back[0], *[F.when(F.col("cnt") <= SMALL, b) for b in back[1:]]).alias("others"))
     pairs = ranked.select("rep", "total", F.explode(F.array_distinct(F.filter("others", lambda o: o.isNotNull()))).alias("o")).select("rep", "total", F.col("o.rep").alias("o"), F.col("o.total").alias("ot"))
     fits = pairs.filter((F.col("rep") != F.col("o")) & (5 * F.least("total", "ot") >= 4 * F.greatest("total", "ot")))
     return fits.select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b")).distinct()
 
 
+def _by_key(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows joined with a table of one row for each key; hot keys, 10,000 at most, are broadcast."""
+    hot = rows.filter("hot").join(F.broadcast(table.filter("hot").drop("hot")), "key")
+    return hot.unionByName(rows.filter("NOT hot").join(table.filter("NOT hot").drop("hot"), "key"))
+
+
 def crowds(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """(crowd, rep, total, comp, minor, ni, nj): texts in crowds of several components; two texts of one large bucket share a crowd."""
-    big = shared.filter(F.col("cnt") > SMALL).join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "total", F.coalesce("root", "rep").alias("comp"))
-    split = big.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("first")).filter("lo <> hi").select("key", "first")
-    rows = materialise(big.join(split, "key"), "neardup-open")
+    big = shared.filter(F.col("cnt") > SMALL).join(roots, F.col("rep") == F.col("node"), "left").select("key", "hot", "rep", "total", F.coalesce("root", "rep").alias("comp"))
+    split = big.groupBy("key", "hot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("first")).filter("lo <> hi").select("key", "hot", "first")
+    rows = materialise(_by_key(big, split), "neardup-open")
     label = rows.groupBy("rep").agg(F.min("first").alias("label"))
-    crowd = rows.join(label, "rep").groupBy("key").agg(F.min("label").alias("crowd"))
-    each = materialise(rows.join(crowd, "key").select("crowd", "rep", "total", "comp").distinct(), "neardup-crowds")
+    crowd = rows.join(label, "rep").groupBy("key", "hot").agg(F.min("label").alias("crowd"))
+    each = materialise(_by_key(rows, crowd).select("crowd", "rep", "total", "comp").distinct(), "neardup-crowds")
     cost = F.sum(8 * F.col("total") + (BLOCK >> 10))
     parts = each.groupBy("crowd", "comp").agg(F.count(F.lit(1)).alias("n"), cost.alias("cost"))
     sums = parts.groupBy("crowd").agg(F.max_by(F.struct("comp", "cost"), F.struct("n", "comp")).alias("main"), F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
     blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    return each.join(sums.select("crowd", F.col("main.comp").alias("main"), blocks(F.col("cost") - F.col("main.cost")).alias("ni"), blocks(F.col("cost")).alias("nj")), "crowd").withColumn("minor", F.col("comp") != F.col("main")).drop("main")
+    out = materialise(each.join(sums.select("crowd", F.col("main.comp").alias("main"), blocks(F.col("cost") - F.col("main.cost")).alias("ni"), blocks(F.col("cost")).alias("nj")), "crowd").withColumn("minor", F.col("comp") != F.col("main")).drop("main"), "neardup-members")
+    discard(rows, each)
+    return out
 
 
 def settled(members: DataFrame, bag: DataFrame) -> DataFrame:
@@ -236,8 +265,8 @@ def _joining(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def bag_bytes(docs: DataFrame, ids: DataFrame, with_sig: bool = False) -> DataFrame:
-    """(id, bag, sig): a byte for each signature component if asked for, and whole multisets of the documents in ids, as sorted 64-bit values; the j-th copy of a shingle is a value of its own."""
+def bag_bytes(src: DataFrame, reps: DataFrame, ids: DataFrame, with_sig: bool = False) -> DataFrame:
+    """(id, bag, sig): a byte for each signature component if asked for, and whole multisets of the texts in ids (numbers as reps has them), as sorted 64-bit values; the j-th copy of a shingle is a value of its own."""
 
     def run(batches):
         for whole in batches:
@@ -253,7 +282,9 @@ def bag_bytes(docs: DataFrame, ids: DataFrame, with_sig: bool = False) -> DataFr
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[x:y] for x, y in zip(off[:-1], off[1:])], pa.binary()), pa.array(sig, pa.binary())], names=["id", "bag", "sig"])
 
     # ids grow with the corpus, so they are never broadcast, however few they are here
-    return docs.join(ids.hint("merge"), docs["doc_id"] == ids["id"], "left_semi").mapInArrow(run, "id long, bag binary, sig binary")
+    named = reps.select(F.col("rep").alias("id"), "doc_id", "t1", "t2").join(ids.hint("merge"), "id", "left_semi")
+    texts = hashed(src).join(named.hint("merge"), ["doc_id", "t1", "t2"]).select("id", "text")
+    return materialise(texts.mapInArrow(run, "id long, bag binary, sig binary").dropDuplicates(["id"]), "neardup-bags")
 
 
 def overlap(a: bytes, b: bytes) -> tuple[int, int]:
@@ -277,50 +308,91 @@ def verified(pairs: DataFrame, bag: DataFrame, parts: int = 5, of: int = 4) -> D
                 keep.append(alike(*overlap(x, y), parts, of))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(bag.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a")
-    both = left.join(bag.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a long, b long")
+    limit = limit_of(pairs.count())
+    for k, own in (("a", "x"), ("b", "y")):
+        # a text in very many pairs goes out in copies, one for each part of them; at most 10,000 texts are
+        hot = F.broadcast(pairs.groupBy(k).agg(F.count(F.lit(1)).alias("cnt")).filter(F.col("cnt") > limit).select(F.col(k).alias("id"), F.ceil(F.col("cnt") / limit).cast("int").alias("parts")))
+        copies = bag.join(hot, "id", "left").select(F.col("id").alias(k), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.col("bag").alias(own))
+        part = F.pmod(F.xxhash64("b" if k == "a" else "a"), F.coalesce("parts", F.lit(1))).cast("int")
+        pairs = pairs.join(hot.withColumnRenamed("id", k), k, "left").withColumn("part", part).drop("parts").join(copies, [k, "part"]).drop("part")
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _shape(e: DataFrame) -> tuple[int, int]:
+    """Of links (u, v), v < u: how many nodes keep them from being stars around their least nodes, and the most links of one node."""
+    ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up")).unionByName(e.select(F.col("v").alias("n"), F.lit(0).alias("up")))
+    each = ends.groupBy("n").agg(F.sum("up").alias("up"), F.count(F.lit(1)).alias("cnt"))
+    r = each.agg(F.count_if(F.expr("up > 1 OR up = 1 AND cnt > 1")).alias("open"), F.coalesce(F.max("cnt"), F.lit(0)).alias("most")).first()
+    return r.open, r.most
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): each linked node and the least node of its component, roots themselves left out."""
     e = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    before = None
     while True:
+        open_, most = _shape(e)
+        if not open_:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        limit = limit_of(2 * e.count())
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("cnt")).select("u", F.least("u", "m").alias("m"), "cnt")
+        met = spread(both, least, "u", limit) if most > limit else both.join(least, "u")
+        large = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
-        if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+        before, e = e, materialise(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(before)
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, copy_of) for every row: the least id of its class, and of the documents with its very multiset."""
-    src = docs_of(docs, id_col, text_col)
+def _firsts(reps: DataFrame, roots: DataFrame) -> DataFrame:
+    """(k1, k2, cnt, copy_of, first): for each multiset the least id that has it, and the first (doc_id, t1, t2) of its class."""
+    me = F.struct("doc_id", "t1", "t2")
+    linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    names = materialise(linked.join(reps.select(F.col("rep").alias("node"), "doc_id", "t1", "t2"), "node").groupBy("root").agg(F.min(me).alias("first"), F.count(F.lit(1)).alias("cnt")), "neardup-names")
+    first = spread(linked, names, "root", limit_of(linked.count())).select("node", "first")
+    out = materialise(reps.join(first, F.col("rep") == F.col("node"), "left").select("k1", "k2", "cnt", F.col("doc_id").alias("copy_of"), F.coalesce("first", me).alias("first")), "neardup-firsts")
+    discard(names)
+    return out
+
+
+def _settled_classes(src: DataFrame) -> DataFrame:
+    """(doc_id, t1, t2, copy_of, first) for every row with an id, and with nulls for one without."""
     sk = materialise(sketch(src), "neardup-sketch")
     has = sk.filter("doc_id IS NOT NULL")
-    reps = materialise(has.groupBy("k1", "k2").agg(F.min_by(F.struct("doc_id", "total", "bands"), "doc_id").alias("r")).select("k1", "k2", F.col("r.doc_id").alias("rep"), F.col("r.total").alias("total"), F.col("r.bands").alias("bands")), "neardup-reps")
+    row = F.struct("doc_id", "t1", "t2", "total", "bands")
+    one = has.groupBy("k1", "k2").agg(F.min_by(row, F.struct("doc_id", "t1", "t2")).alias("r"), F.count(F.lit(1)).alias("cnt"))
+    # numbers are fixed once written
+    reps = materialise(one.select("k1", "k2", "cnt", "r.*").withColumn("rep", F.monotonically_increasing_id()), "neardup-reps")
     shared = buckets(reps)
     pairs = materialise(candidates(shared), "neardup-pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    roots = components(verified(pairs, materialise(bag_bytes(src, ids).dropDuplicates(["id"]), "neardup-bags")))
-    open_ = materialise(crowds(shared, roots), "neardup-members")
+    bag = bag_bytes(src, reps, ids)
+    roots = components(verified(pairs, bag))
+    open_ = crowds(shared, roots)
     if not open_.isEmpty():
-        ids = open_.select(F.col("rep").alias("id")).distinct()
-        more = settled(open_, materialise(bag_bytes(src, ids, True).dropDuplicates(["id"]), "neardup-bags"))
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    named = reps.select("k1", "k2", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.col("rep").alias("copy_of"), F.coalesce("root", "rep").alias("class_id"))
-    one = has.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "class_id", "copy_of")
-    none = F.lit(None).cast("long")
-    return one.unionByName(sk.filter("doc_id IS NULL").select("doc_id", none.alias("class_id"), none.alias("copy_of")))
+        more = bag_bytes(src, reps, open_.select(F.col("rep").alias("id")).distinct(), True)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(settled(open_, more)))
+        discard(more)
+    first = _firsts(reps, roots)
+    discard(reps, shared, pairs, bag, open_)
+    out = spread(has.select("doc_id", "t1", "t2", "k1", "k2"), first, ["k1", "k2"], limit_of(sk.count())).select("doc_id", "t1", "t2", "copy_of", "first")
+    none = sk.filter("doc_id IS NULL").select("doc_id", "t1", "t2")
+    return out.unionByName(none, allowMissingColumns=True)
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, copy_of) for every row: the least id of its class, and of the documents with its very multiset."""
+    return _settled_classes(docs_of(docs, id_col, text_col)).select("doc_id", F.col("first.doc_id").alias("class_id"), "copy_of")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs that are the first of their class, with all their columns; rows with a null id stay."""
-    rest = classes(docs, id_col, text_col).filter("class_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(rest, docs[id_col] == F.col("__gone"), "left_anti")
+    """Rows of docs that are the first of their class, by id and then by the text's hash, with all their columns and whatever their names; rows with a null id stay.
+
+    Rows that are equal in id and text are one document: they all stay or all go.
+    """
+    names = free(docs.columns, "gone_id", "gone_t1", "gone_t2")
+    rows = _settled_classes(docs_of(docs, id_col, text_col)).filter("first <> struct(doc_id, t1, t2)")
+    gone = rows.select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "t1", "t2"), names))).distinct()
+    own = [docs[id_col].cast("long"), *text_hashes(F.coalesce(docs[text_col].cast("string"), F.lit("")))]
+    on = functools.reduce(lambda x, y: x & y, (c == F.col(n) for c, n in zip(own, names)))
+    return docs.join(gone, on, "left_anti")

@@ -13,15 +13,15 @@ digits inside, drawn-out letters) and lexicon hits among them once undone.
 
 Edge cases: a null text is empty and is scored like any other; a null id is
 scored and never trained on; repeated label rows count once, with the largest
-label; without both labels in the sample every score is the share of toxic
+label, and labels other than 0 and 1 not at all; rows that repeat a sampled id are
+in the sample with it, by its first text; without both labels in the sample every score is the share of toxic
 rows; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import math
-import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,20 +29,48 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of, materialise, slices
+from .common import discard, docs_of, materialise, mixed, slices
+from .words import Words, hash_words
 
-WORD = re.compile(r"\w+")
 STEMS = range(4, 8)
 #: Parts of the sample for features and calibration out of fold, and how much likelier in toxic rows an entry must be.
 PARTS, ODDS = 5, 12
+#: Weights are whole ten-thousandths, so that their sums do not depend on the order.
+WHOLE = 10_000
 YOU = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer sie usted ustedes vosotros ti tus su".split())
 UNDO = str.maketrans({"@": "a", "$": "s", "0": "o", "1": "i", "!": "i", "3": "e", "4": "a", "5": "s", "7": "t", "*": "", "_": "", "-": "", ".": "", "#": "", "%": "", "&": ""})
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-LETTER, PUNCT, DIGIT = re.compile(r"[^\W\d_]"), re.compile(r"[^\w\s]"), re.compile(r"\d")
-UPPER = re.compile("[A-ZÀ-ÖØ-ÞΑ-ΩА-Я]")
-DRAWN = re.compile(r"(\w)\1{3,}")
+CAPITALS = "A-Z À-Ö Ø-Þ Α-Ω А-Я"
 REMEMBER = 500_000
+#: Bytes of text whose features are found at once.
+PART = 1_000_000
 NAMES = ["log_words", "hits", "density", "weight_sum", "weight_max", "weight_density", "distinct_hits", "near_you", "you_density", "caps_letters", "caps_words", "punct", "exclaim", "odd_words", "odd_hits", "drawn", "digits", "line_hits"]
+_STEM = np.uint64(0x5851F42D4C957F2D)
+SPACE, ALPHA, LETTER, DIGIT, PUNCT, CAPITAL, UPPER, LOWER, EDGE = (1 << k for k in range(9))
+
+
+@functools.cache
+def _flags() -> np.ndarray:
+    """What each code point is."""
+    every = np.array([chr(c) for c in range(0x110000)])
+    is_ = np.char
+    word = is_.isalnum(every)
+    word[ord("_")] = True
+    space, digit = is_.isspace(every), is_.isdecimal(every)
+    letter = word & ~digit
+    letter[ord("_")] = False
+    out = np.zeros(0x110000, np.uint16)
+    for bit, mask in ((SPACE, space), (ALPHA, is_.isalpha(every)), (LETTER, letter), (DIGIT, digit), (PUNCT, ~word & ~space), (UPPER, is_.isupper(every)), (LOWER, is_.islower(every) | is_.istitle(every) & ~is_.isupper(every))):
+        out[mask] |= bit
+    for r in CAPITALS.split():
+        out[ord(r[0]) : ord(r[2]) + 1] |= CAPITAL
+    out[[ord(c) for c in EDGES]] |= EDGE
+    return out
+
+
+@functools.cache
+def _you() -> np.ndarray:
+    return np.sort(hash_words(sorted(YOU)))
 
 
 def entries_of(word: str):
@@ -54,11 +82,17 @@ def entries_of(word: str):
 
 
 class Lexicon(dict):
-    """Entries with their weights; remembers what it has said of words (up to REMEMBER of them)."""
+    """Entries with their weights; remembers what it has said of undone words (up to REMEMBER of them)."""
 
     def __init__(self, entries: dict[str, float]):
         super().__init__(entries)
         self.said: dict[str, float] = {}
+        names = list(entries)
+        h = hash_words([e.rstrip("*") for e in names]) if names else np.zeros(0, np.uint64)
+        h = h ^ np.where([e.endswith("*") for e in names], _STEM, np.uint64(0)).astype(np.uint64)
+        order = np.argsort(h)
+        self.hashes = h[order]
+        self.whole = np.rint(np.asarray(list(entries.values()), float)[order] * WHOLE).astype(np.int64)
 
     def __reduce__(self):
         return Lexicon, (dict(self),)
@@ -71,41 +105,95 @@ class Lexicon(dict):
             v = self.said[word] = max((self[e] for e in entries_of(word) if e in self), default=0.0)
         return v
 
-
-def odd_words(raw: list[str]) -> list[str]:
-    """Words with letters that are not letters throughout, edges of punctuation aside."""
-    inner = (r.strip(EDGES) for r in raw if not r.isalpha())
-    return [c for c in inner if c and not c.isalpha() and LETTER.search(c)]
-
-
-def features(text: str, lexicon: Lexicon) -> list[float]:
-    words = WORD.findall(text.lower())
-    n = len(words)
-    if not n:
-        return [0.0] * len(NAMES)
-    counts = Counter(words)
-    said, weigh = lexicon.said, lexicon.weight
-    weight = {w: v for w in counts if (v := said[w] if w in said else weigh(w))}
-    hits = sum(counts[w] for w in weight)
-    total = sum(weight[w] * counts[w] for w in weight)
-    you = sum(counts[w] for w in counts.keys() & YOU)
-    near = 0.0
-    if hits and you:
-        at = [i for i, w in enumerate(words) if w in YOU]
-        for i in (i for i, w in enumerate(words) if w in weight):
-            k = np.searchsorted(at, i)
-            gap = min(abs(i - at[j]) for j in (k - 1, k) if 0 <= j < len(at))
-            near = max(near, 1 / (1 + gap))
-    size = len(text)
-    raw = text.split()
-    odd = odd_words(raw)
-    undone = sum(weigh(o.lower().translate(UNDO)) > 0 for o in odd)
-    line_hits = 0.0
-    if hits:
-        lines = [x for x in text.split("\n") if x]
-        line_hits = sum(any(w in weight for w in WORD.findall(x.lower())) for x in lines) / max(1, len(lines))
-    punct, drawn = len(PUNCT.findall(text)), sum(bool(DRAWN.search(w)) for w in counts)
-    return [math.log1p(n), min(hits, 50), hits / n, min(total, 200.0), max(weight.values(), default=0.0), total / n, len(weight), near, you / n, len(UPPER.findall(text)) / size, sum(map(str.isupper, raw)) / max(1, len(raw)), punct / size, text.count("!") / size, len(odd) / n, min(undone, 20), drawn / len(counts), len(DIGIT.findall(text)) / size, line_hits]
+    def _of(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.whole[at], 0)
+
+    def weights(self, w: Words, which: np.ndarray) -> np.ndarray:
+        """The given words' weights, in ten-thousandths: the greatest of a word's entries."""
+        out = self._of(w.hashes[which])
+        size = w.ends[which] - w.starts[which]
+        for n in STEMS:
+            long = np.flatnonzero(size > n)
+            out[long] = np.maximum(out[long], self._of(w.stems(which[long], n) ^ _STEM))
+        return out
+
+
+def _same_word(text: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """One place of each (text, word)."""
+    return np.unique(mixed(hashes + text.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)), return_index=True)[1]
+
+
+def features(texts: list[str], lexicon: Lexicon) -> np.ndarray:
+    """A row of NAMES for each text; texts without words have zeros throughout."""
+    m = len(texts)
+    if not m:
+        return np.zeros((0, len(NAMES)))
+    w = Words(texts, keep=True)
+    n = np.diff(w.per_text)
+    text = np.repeat(np.arange(m), n)
+    per = lambda where, x=None: np.bincount(where, x, m)
+    _, first, inv = np.unique(w.hashes, return_index=True, return_inverse=True)
+    inv = inv.reshape(-1)
+    weight = lexicon.weights(w, first)[inv] if len(first) else np.zeros(0, np.int64)
+    hit = np.flatnonzero(weight > 0)
+    you = np.flatnonzero(np.isin(w.hashes[first], _you())[inv])
+    hits, n_you, total = per(text[hit]), per(text[you]), per(text, weight) / WHOLE
+    most = np.zeros(m, np.int64)
+    np.maximum.at(most, text[hit], weight[hit])
+    near = np.zeros(m)
+    if len(hit) and len(you):
+        k = np.searchsorted(you, hit)
+        for j in (np.maximum(k - 1, 0), np.minimum(k, len(you) - 1)):
+            same = text[you[j]] == text[hit]
+            np.maximum.at(near, text[hit[same]], 1 / (1 + np.abs(you[j] - hit)[same]))
+    c = w.cps
+    drawn = np.zeros(len(w.hashes), bool)
+    four = np.flatnonzero((c[:-3] == c[1:-2]) & (c[1:-2] == c[2:-1]) & (c[2:-1] == c[3:])) if len(c) > 3 else np.zeros(0, np.int64)
+    owner = np.searchsorted(w.starts, four, "right") - 1
+    inside = (owner >= 0) & (four < w.ends[owner]) if len(w.ends) else np.zeros(len(four), bool)
+    drawn[owner[inside]] = True
+    one = _same_word(text, w.hashes)
+    distinct, distinct_hits, n_drawn = per(text[one]), per(text[one[weight[one] > 0]]), per(text[one[drawn[one]]])
+    line = np.unique(np.searchsorted(np.flatnonzero(c == 10), w.starts[hit]), return_index=True)[1]
+    hit_lines = per(text[hit[line]])
+    # characters as they stand
+    joined = "\n".join(texts) + "\n"
+    c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    f = _flags()[c]
+    size = np.fromiter(map(len, texts), np.int64, m)
+    ends = np.cumsum(size + 1)
+    count = lambda mask: np.add.reduceat(mask, ends - size - 1, dtype=np.int64)
+    flagged = lambda bit: (f & bit) != 0
+    break_ = c == 10
+    lines = count(~break_ & np.append(True, break_[:-1]))
+    run = np.flatnonzero(np.diff(np.concatenate([[True], flagged(SPACE)])))
+    a, z = run[::2], run[1::2]  # the last character is white space
+    which = np.searchsorted(ends, a, "right")
+    in_run = lambda bit: np.add.reduceat(flagged(bit), run, dtype=np.int64)[::2] if len(run) else np.zeros(0, np.int64)
+    caps = per(which[(in_run(UPPER) > 0) & (in_run(LOWER) == 0)])
+    other = np.flatnonzero(in_run(ALPHA) < z - a)
+    odd, undone = _odd(joined, f, a[other], z[other], which[other], lexicon, m)
+    some, chars = np.maximum(n, 1), np.maximum(size, 1)
+    out = np.stack([np.log1p(n), np.minimum(hits, 50), hits / some, np.minimum(total, 200.0), most / WHOLE, total / some, distinct_hits, near, n_you / some, count(flagged(CAPITAL)) / chars, caps / np.maximum(1, per(which)), count(flagged(PUNCT)) / chars, count(c == 33) / chars, odd / some, np.minimum(undone, 20), n_drawn / np.maximum(distinct, 1), count(flagged(DIGIT)) / chars, np.where(hits > 0, hit_lines / np.maximum(1, lines), 0.0)], 1)
+    out[n == 0] = 0
+    return out
+
+
+def _odd(joined: str, f: np.ndarray, a: np.ndarray, z: np.ndarray, which: np.ndarray, lexicon: Lexicon, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the words with letters that are not letters throughout, edges of punctuation aside, and how many of them are in the lexicon once undone."""
+    inner = np.flatnonzero((f & (EDGE | SPACE)) == 0)
+    lo, hi = np.searchsorted(inner, a), np.searchsorted(inner, z)
+    some = lo < hi
+    a, z, which = inner[lo[some]], inner[hi[some] - 1] + 1, which[some]
+    bounds = np.stack([a, z], 1).ravel()
+    in_run = lambda bit: np.add.reduceat((f & bit) != 0, bounds, dtype=np.int64)[::2] if len(bounds) else np.zeros(0, np.int64)
+    is_odd = (in_run(ALPHA) < z - a) & (in_run(LETTER) > 0)
+    a, z, which = a[is_odd], z[is_odd], which[is_odd]
+    found = np.fromiter((lexicon.weight(joined[x:y].lower().translate(UNDO)) > 0 for x, y in zip(a.tolist(), z.tolist())), bool, len(a))
+    return np.bincount(which, minlength=m), np.bincount(which[found], minlength=m)
 
 
 @dataclass
@@ -200,8 +288,7 @@ class Model:
     def score(self, texts: list[str]) -> np.ndarray:
         if self.trees is None:
             return np.full(len(texts), self.prior)
-        x = np.asarray([features(t, self.lexicon) for t in texts], float).reshape(len(texts), len(NAMES))
-        return np.clip(np.interp(self.trees.decision(x), self.xs, self.ys), 0, 1)
+        return np.clip(np.interp(self.trees.decision(features(texts, self.lexicon)), self.xs, self.ys), 0, 1)
 
 
 def fold(id_col: Column) -> Column:
@@ -209,29 +296,51 @@ def fold(id_col: Column) -> Column:
     return F.pmod(F.crc32(id_col.cast("string")), F.lit(5))
 
 
+def entry_counts(texts: list[str], y: list[int], part: list[int]) -> pa.RecordBatch:
+    """(entry, part, neg, pos): in how many of a part's texts of each label a word or stem stands."""
+    w = Words(texts, keep=True)
+    text = np.repeat(np.arange(len(texts)), np.diff(w.per_text))
+    word = _same_word(text, w.hashes)
+    size = (w.ends - w.starts)[word]
+    hashes, at, cut = [w.hashes[word]], [word], [size]
+    for n in STEMS:
+        long = word[size > n]
+        hashes.append(w.stems(long, n) ^ _STEM)
+        at.append(long)
+        cut.append(np.full(len(long), n))
+    h, at, cut = map(np.concatenate, (hashes, at, cut))
+    one = _same_word(text[at], h)
+    h, at, cut = h[one], at[one], cut[one]
+    t, y, part = text[at], np.asarray(y, np.int64), np.asarray(part, np.int64)
+    _, first, group = np.unique(mixed(h + part[t].astype(np.uint64)), return_index=True, return_inverse=True)
+    pos = np.bincount(group.reshape(-1), y[t], len(first)).astype(np.int64)
+    both = np.bincount(group.reshape(-1), minlength=len(first))
+    start, end = w.starts[at[first]], w.ends[at[first]]
+    names = [w.joined[a : a + c] + ("*" if a + c < z else "") for a, z, c in zip(start.tolist(), end.tolist(), cut[first].tolist())]
+    return pa.RecordBatch.from_pydict({"entry": pa.array(names, pa.string()), "part": pa.array(part[t[first]], pa.int32()), "neg": pa.array(both - pos), "pos": pa.array(pos)})
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = 20_000, entries: int = 5_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from labelled rows outside of the held-out fold; at most `sample` of them, and `entries` in the lexicon."""
-    y = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).dropna().filter(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
+    y = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).dropna().filter("y IN (0, 1)").filter(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
     picked = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     src = docs_of(docs, id_col, text_col)
     # the sample has at most `sample` rows of 12 bytes
-    rows = materialise(src.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(PARTS)).alias("part")), "toxicity-sample")
+    found = src.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = materialise(found.select("doc_id", "text", "y", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(PARTS)).alias("part")), "toxicity-sample")
     n = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(n.values())
     prior = n.get(1, 0) / total if total else 0.0
     if not n.get(1) or not n.get(0):
+        discard(rows)
         return Model(Lexicon({}), prior)
 
     def words(batches):
         for whole in batches:
-            for b in slices(whole):
-                seen: dict[tuple[str, int], list[int]] = {}
-                for t, v, k in zip(*(b.column(i).to_pylist() for i in range(3))):
-                    for e in {e for w in set(WORD.findall(t.lower())) for e in entries_of(w)}:
-                        seen.setdefault((e, k), [0, 0])[v] += 1
-                yield pa.RecordBatch.from_pydict({"entry": pa.array([e for e, _ in seen], pa.string()), "part": pa.array([k for _, k in seen], pa.int32()), "neg": pa.array([v[0] for v in seen.values()], pa.int64()), "pos": pa.array([v[1] for v in seen.values()], pa.int64())})
-
-    rows = rows.filter("y IN (0, 1)").select("text", F.col("y").cast("int").alias("y"), F.col("part").cast("int").alias("part"))
+            for b in slices(whole, limit=PART):
+                yield entry_counts(*(b.column(i).to_pylist() for i in range(3)))
+
+    rows = (sample_rows := rows).select("text", F.col("y").cast("int").alias("y"), F.col("part").cast("int").alias("part"))
     sizes = np.zeros((PARTS, 2))
     for r in rows.groupBy("part", "y").agg(F.count(F.lit(1)).alias("n")).collect():
         sizes[r.part, r.y] = r.n
@@ -256,9 +365,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample:
     without = [lexicon(k) for k in range(PARTS)]  # a row's features never come from its own label
 
     def feats(batches):
-        for b in batches:
-            x = [features(t, without[k]) for t, k in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_pydict({"y": b.column(1), "part": b.column(2), "x": pa.array(x, pa.list_(pa.float64()))})
+        for whole in batches:
+            for b in slices(whole, limit=PART):
+                texts, part = b.column(0).to_pylist(), np.asarray(b.column(2))
+                x = np.zeros((len(texts), len(NAMES)))
+                for k in range(PARTS):
+                    own = np.flatnonzero(part == k)
+                    x[own] = features([texts[i] for i in own], without[k])
+                yield pa.RecordBatch.from_pydict({"y": b.column(1), "part": b.column(2), "x": pa.array(x.tolist(), pa.list_(pa.float64()))})
 
     # sorted: sums of doubles, and so the model, do not depend on the order in which tasks end
     rest = sorted((r.part, r.y, r.x) for r in rows.mapInArrow(feats, "y int, part int, x array<double>").collect())
@@ -268,6 +382,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample:
     for k in range(PARTS):
         if (part == k).any() and (part != k).any():
             z[part == k] = Boosted().fit(x[part != k], yy[part != k]).decision(x[part == k])
+    discard(sample_rows)
     model.trees = Boosted().fit(x, yy)
     model.xs, model.ys = isotonic(z, yy)
     return model
@@ -278,7 +393,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, limit=PART):
                 yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "score": pa.array(model.score(b.column(1).to_pylist()), pa.float64())})
 
     return docs_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
@@ -290,8 +405,9 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
-            s = model.score([t or "" for t in b.column(at).to_pylist()])
-            yield b.filter(pa.array(s < threshold))
+        for whole in batches:
+            for b in slices(whole, text_col, PART):
+                s = model.score([t or "" for t in b.column(at).to_pylist()])
+                yield b.filter(pa.array(s < threshold))
 
     return docs.mapInArrow(run, schema)

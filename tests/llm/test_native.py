@@ -2,6 +2,7 @@
 
 import pytest
 from compare import same
+from pyspark.sql import functions as F
 
 from quarry.llm import chat, entry_points, lines, urls
 
@@ -21,6 +22,16 @@ def test_lines_edge_cases(spark):
     assert lines.dedup_lines(df.limit(0), 5).count() == 0
 
 
+def test_lines_clashing_columns(spark):
+    rows = [(i, f"own {i}\nshared", f"s{i}") for i in range(6)]
+    names = ["lines_total", "LINES_REMOVED", "__r1", "__r2", "__drop", "row_1", "gone", "__pos", "__h1", "a.b"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df = df.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    out = lines.dedup_lines(df, 5)
+    assert out.columns == [*df.columns, "lines_total_", "lines_removed_"]
+    assert {tuple(r) for r in out.collect()} == {(i, f"own {i}", f"s{i}", *range(len(names)), 2, 1) for i in range(6)}
+
+
 def test_urls_edge_cases(spark):
     bad = [None, "", "no scheme", "http://", "HTTP://WWW.EXAMPLE.COM/en/x?y#z", "a://b://c/d", "http://example.com?q=/en/", "http://net/es/", "http://xnet/es/", "http://É.COM", "http://a\nb.com/\np", "http://spam-farm.example.org/en/728", "x" * 30 + "://" + "y" * 50000]
     df = spark.createDataFrame([(i, u, "z") for i, u in enumerate(bad)], "page_id long, url string, host string")

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quarry.llm import neardup as nd
 
@@ -106,6 +107,36 @@ def test_group_of_edited_copies_and_edge_cases(spark):
     assert nd.classes(df.limit(0)).count() == 0
 
 
+def test_equal_ids_with_different_texts_and_clashing_names(spark):
+    """No text that stands once is lost, whatever ids and columns there are."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    a, b, c = words(1), words(2), words(3)
+    rows = [(3, b), (5, a), (5, b), (7, c), (7, c), (8, c + " more"), (None, a), (None, None), (9, None), (10, "")]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, gone_id long").withColumns({"__gone": F.lit(1), "gone_t1": F.lit("x"), "first": F.lit(2), "t1": F.lit(3), "CNT": F.lit(4)})
+    kept = nd.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(r.gone_id for r in kept.collect()) == [0, 1, 3, 4, 6, 7, 8]
+    got = sorted((r.doc_id, r.class_id, r.copy_of) for r in nd.classes(df).collect() if r.doc_id is not None)
+    assert got == [(3, 3, 3), (5, 3, 3), (5, 5, 5), (7, 7, 7), (7, 7, 7), (8, 7, 8), (9, 9, 9), (10, 9, 9)]
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    """Buckets, copies, stars and pairs beyond the limit of one task give the same classes."""
+    monkeypatch.setattr(nd, "limit_of", lambda rows: 5)
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(base)) for i in range(20)]
+    for i in range(20, 80):
+        t = list(base)
+        for k in r.sample(range(300), 2):
+            t[k] = f"own{i}"
+        rows.append((i, " ".join(t)))
+    rows += [(i, " ".join(f"x{r.randrange(900)}" for _ in range(40))) for i in range(80, 100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in nd.classes(df).collect()}
+    assert got == brute(rows) and len(set(got.values())) == 21
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150)]
     got = {r.node: r.root for r in nd.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -1,4 +1,7 @@
+import itertools
+import math
 import random
+import re
 
 import numpy as np
 
@@ -19,6 +22,114 @@ def test_held_out_accuracy(spark):
     assert sum(r.predicted == r.toxic for r in got) / len(got) > 0.9
 
 
+def plain_features(text, weights):
+    """One text's features, a word at a time."""
+    weigh = lambda w: max((weights[e] for e in toxicity.entries_of(w) if e in weights), default=0.0)
+    word = re.compile(r"\w+")
+    words = word.findall(text.lower())
+    if not words:
+        return [0.0] * len(toxicity.NAMES)
+    n, raw, lines = len(words), text.split(), [x for x in text.split("\n") if x]
+    hits = [i for i, w in enumerate(words) if weigh(w) > 0]
+    you = [i for i, w in enumerate(words) if w in toxicity.YOU]
+    total = sum(weigh(words[i]) for i in hits)
+    odd = [c for c in (r.strip(toxicity.EDGES) for r in raw) if c and not c.isalpha() and re.search(r"[^\W\d_]", c)]
+    return [
+        math.log1p(n),
+        min(len(hits), 50),
+        len(hits) / n,
+        min(total, 200),
+        max((weigh(words[i]) for i in hits), default=0),
+        total / n,
+        len({words[i] for i in hits}),
+        max((1 / (1 + abs(i - j)) for i in hits for j in you), default=0),
+        len(you) / n,
+        len(re.findall("[A-ZÀ-ÖØ-ÞΑ-ΩА-Я]", text)) / len(text),
+        sum(r.isupper() for r in raw) / len(raw),
+        len(re.findall(r"[^\w\s]", text)) / len(text),
+        text.count("!") / len(text),
+        len(odd) / n,
+        min(20, sum(weigh(o.lower().translate(toxicity.UNDO)) > 0 for o in odd)),
+        sum(bool(re.search(r"(\w)\1{3,}", w)) for w in set(words)) / len(set(words)),
+        len(re.findall(r"\d", text)) / len(text),
+        sum(any(weigh(w) > 0 for w in word.findall(x.lower())) for x in lines) / len(lines) if hits else 0,
+    ]
+
+
+def test_features_against_one_word_at_a_time(spark, sf):
+    r = random.Random(6)
+    bits = ["clod", "Clods", "CLODDY", "you", "Du", "c10d", "c-l-o-d", "!!", "...", "x", "soooo", "aaaa", "12", "a_b", "don't", "İstanbul", "Σας", "ǅ", "É", "\n", "\n\n", "\t", "\u3000", "\x1c", "²", "२", "😀", "----", "zz-", "\x00", "blockhead", "blo", "ß"]
+    texts = ["", "...", " ", "\n", *("".join(r.choice(bits) + r.choice([" ", " ", "", "\n"]) for _ in range(r.randint(0, 40))) for _ in range(600))]
+    texts += [x.text or "" for x in spark.read.parquet(f"{sf}/documents.parquet").limit(150).collect()]
+    weights = {"clod": 3.1234, "clod*": 2.5, "bloc*": 2.75, "ß": 4.0, "the": 2.6}
+    got = toxicity.features(texts, toxicity.Lexicon(weights))
+    assert np.allclose(got, [plain_features(t, weights) for t in texts], rtol=1e-12, atol=0)
+    assert toxicity.features([], toxicity.Lexicon({})).shape == (0, len(toxicity.NAMES))
+
+
+def test_entry_counts_against_sets():
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["alpha", "alphabet", "alphab", "beta", "İx", "a"]) for _ in range(r.randint(0, 6))) for _ in range(300)]
+    y, part = [r.randrange(2) for _ in texts], [r.randrange(3) for _ in texts]
+    want = {}
+    for t, v, k in zip(texts, y, part):
+        for e in {e for w in re.findall(r"\w+", t.lower()) for e in toxicity.entries_of(w)}:
+            want.setdefault((e, k), [0, 0])[v] += 1
+    got = {(x["entry"], x["part"]): [x["neg"], x["pos"]] for x in toxicity.entry_counts(texts, y, part).to_pylist()}
+    assert got == want
+
+
+def test_trees_against_exhaustive_splits():
+    """Each tree of the first rounds takes the splits that a search over all features and cuts finds, and their leaf values."""
+    r = np.random.default_rng(2)
+    x = r.integers(0, 6, (120, 3)).astype(float)
+    y = (x[:, 0] + x[:, 1] * r.random(120) > 4).astype(float)
+    m = toxicity.Boosted().fit(x, y, rounds=3)
+    z = np.full(len(y), math.log(y.mean() / (1 - y.mean())))
+
+    def grow(rows, level):
+        g, h = (y - 1 / (1 + np.exp(-z)))[rows], (1 / (1 + np.exp(-z)) * (1 - 1 / (1 + np.exp(-z))))[rows]
+        gain = lambda k: g[k].sum() ** 2 / (h[k].sum() + 1) + g[~k].sum() ** 2 / (h[~k].sum() + 1) - g.sum() ** 2 / (h.sum() + 1)
+        cuts = [(gain(x[rows, f] < c), f, c) for f in range(3) for c in m.edges[f]] if level < 3 and len(rows) > 1 else []
+        top = max((c[0] for c in cuts), default=0)
+        if top < 1e-6:
+            out[rows] = 0.2 * g.sum() / (h.sum() + 1)
+            return
+        _, f, c = next(t for t in cuts if t[0] >= top - 1e-12)
+        left = x[rows, f] < c
+        grow(rows[left], level + 1)
+        grow(rows[~left], level + 1)
+
+    for _ in range(3):
+        out = np.zeros(len(y))
+        grow(np.arange(len(y)), 0)
+        z = z + out
+    assert np.allclose(m.decision(x), z)
+
+
+def test_isotonic_is_the_best_monotone_fit():
+    """Pooled means minimise squared error among all monotone step functions; the prior's half row moves them by as much as it weighs."""
+    r = random.Random(5)
+    for _ in range(30):
+        n = r.randint(2, 7)
+        z = np.array([float(r.randrange(5)) for _ in range(n)])
+        y = np.array([float(r.randrange(2)) for _ in range(n)])
+        xs, ys = toxicity.isotonic(z, y)
+        values = sorted(set(z))
+        best = None
+        for cut in itertools.product([0, 1], repeat=len(values) - 1):
+            group = np.concatenate([[0], np.cumsum(cut, dtype=np.int64)])
+            mean = [y[np.isin(z, np.asarray(values)[group == k])].mean() for k in range(group[-1] + 1)]
+            if all(p < q for p, q in zip(mean, mean[1:])):
+                fit = np.array([mean[group[values.index(v)]] for v in z])
+                err = ((fit - y) ** 2).sum()
+                if best is None or err < best[0] - 1e-12:
+                    size = [np.isin(z, np.asarray(values)[group == k]).sum() for k in range(group[-1] + 1)]
+                    best = err, [(m * c + 0.5 * y.mean()) / (c + 0.5) for m, c in zip(mean, size)], group
+        want = np.maximum.accumulate([best[1][best[2][k]] for k in range(len(values))])
+        assert np.allclose(np.interp(values, xs, ys), want)
+
+
 def test_isotonic_is_monotone_and_trees_learn():
     r = np.random.default_rng(0)
     x = r.normal(size=(2000, 3))
@@ -56,6 +167,14 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.score(docs.limit(0), m).count() == 0
 
 
+def test_equal_ids_and_odd_labels_in_the_sample(spark):
+    docs = spark.createDataFrame([(i, f"you clod {i}" if i % 2 else f"calm {i}") for i in range(40)] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(i, 7) for i in range(40)] + [(i, -1) for i in range(40)], "doc_id long, toxic int")
+    once = toxicity.train(docs.distinct(), labels.filter("toxic IN (0, 1)"))
+    m = toxicity.train(docs, labels)
+    assert dict(m.lexicon) == dict(once.lexicon) and m.prior == once.prior and np.array_equal(m.ys, once.ys)
+
+
 def smith_waterman(a, b):
     h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
