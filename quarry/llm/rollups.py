@@ -2,10 +2,12 @@
 
 A ledger is a folder of batches. A batch holds additive rows: (keys..., docs,
 tokens) with signs, so an insert adds, a delete subtracts, and a revised count
-is a delete of the old and an insert of the new. A batch becomes visible when
-Spark's job commit puts its success marker there; a batch id that has one is
-not written again, so a repeated or retried commit changes nothing. Totals are
-sums over visible batches; `fold` replaces them by one snapshot.
+is a delete of the old and an insert of the new. A batch is written under a name
+of its own and then renamed to its id, which succeeds for one writer only and
+shows all of it or nothing: a repeated, retried or racing commit of an id
+changes nothing. Totals are sums over visible batches. `fold` replaces those
+that it has listed by one snapshot, which holds their list and their sums and
+appears by one rename too; a batch that comes in meanwhile is in neither.
 
 Edge cases: null texts count zero tokens; null sources, languages and ids form
 groups of their own; repeated rows count as often as they occur; an empty
@@ -15,15 +17,18 @@ not read.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, hadoop, slices
+from .common import docs_of, hadoop, publish, slices
 from .tokens import chunks, encoder
 
 KEYS = ["source", "lang", "tokenizer"]
+SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long"
 
 
 def count_tokens(docs: DataFrame, tokenizers: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,53 +62,46 @@ class Ledger:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _batches(self) -> list[str]:
+    def _names(self) -> list[str]:
         fs, root = hadoop(self.spark, self.path)
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory() and not s.getPath().getName().endswith("-batches")]
-        return sorted(n for n in names if self._done(n))
-
-    def _done(self, name: str) -> bool:
-        fs, mark = hadoop(self.spark, f"{self.path}/{name}/_SUCCESS")
-        return fs.exists(mark)
+        return sorted(s.getPath().getName() for s in fs.listStatus(root)) if fs.exists(root) else []
 
-    def _snapshot(self, names: list[str]) -> str | None:
-        snaps = [n for n in names if n.startswith("snapshot=")]
-        return max(snaps, key=lambda n: int(n.split("=")[1])) if snaps else None
+    def _visible(self) -> tuple[str | None, list[str], list[str]]:
+        """(newest snapshot, batches that it has, batches that it has not), by one listing."""
+        names = self._names()
+        batches = [n for n in names if n.startswith("batch=")]
+        snap = max((n for n in names if n.startswith("snapshot=")), key=lambda n: int(n.split("=")[1]), default=None)
+        has = {r[0] for r in self.spark.read.text(f"{self.path}/{snap}/batches").collect()} if snap else set()
+        return snap, sorted(has), [n for n in batches if n not in has]
 
     def commit(self, batch: str, delta: DataFrame) -> bool:
-        """Writes a batch once; False where it is there already or folded into a snapshot."""
+        """Writes a batch once; False where it is there already, folded into a snapshot or not."""
         if not batch or "/" in batch:
             raise ValueError(f"bad batch id {batch!r}")
-        if self._done(f"batch={batch}"):
+        if f"batch={batch}" in self._names():
             return False
         rows = delta.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-        return True
-
-    def _visible(self) -> list[str]:
-        names = self._batches()
-        snap = self._snapshot(names)
-        if snap is None:
-            return names
-        folded = {r[0] for r in self.spark.read.text(f"{self.path}/{snap}-batches").collect()}
-        return [snap, *(n for n in names if n.startswith("batch=") and n not in folded)]
+        own = f"{self.path}/_new-{uuid.uuid4().hex}"
+        rows.write.parquet(own)
+        return publish(self.spark, own, f"{self.path}/batch={batch}")
+
+    def _sums(self, snap: str | None, rest: list[str]) -> DataFrame:
+        folders = [*([f"{snap}/sums"] if snap else []), *rest]
+        if not folders:
+            return self.spark.createDataFrame([], SCHEMA)
+        # exact folders are read, so their names are no columns
+        rows = self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/{n}" for n in folders])
+        return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 OR tokens <> 0")
 
     def totals(self) -> DataFrame:
         """Docs and tokens for each source, language and tokenizer; groups that sum to nothing are left out."""
-        names = self._visible()
-        schema = "source string, lang string, tokenizer string, docs long, tokens long"
-        if not names:
-            return self.spark.createDataFrame([], schema)
-        # recursive reading of exact folders: the folder names are not columns
-        rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/{n}" for n in names])
-        return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 OR tokens <> 0")
-
-    def fold(self) -> None:
-        """Writes a snapshot of all visible batches; their markers stay, so they are still not committed again."""
-        names = self._batches()
-        snap = self._snapshot(names)
-        k = int(snap.split("=")[1]) + 1 if snap else 0
-        self.spark.createDataFrame([(n,) for n in names if n.startswith("batch=")], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/snapshot={k}-batches")
-        self.totals().write.mode("overwrite").parquet(f"{self.path}/snapshot={k}")
+        snap, _, rest = self._visible()
+        return self._sums(snap, rest)
+
+    def fold(self) -> bool:
+        """Writes a snapshot of the batches visible now; the batches stay, so they are still not committed again. False where another fold was first."""
+        snap, has, rest = self._visible()
+        own = f"{self.path}/_new-{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(n,) for n in [*has, *rest]], "value string").coalesce(1).write.text(f"{own}/batches")
+        self._sums(snap, rest).write.parquet(f"{own}/sums")
+        return publish(self.spark, own, f"{self.path}/snapshot={int(snap.split('=')[1]) + 1 if snap else 0}")

@@ -43,7 +43,7 @@ EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CAPITALS = "A-Z À-Ö Ø-Þ Α-Ω А-Я"
 REMEMBER = 500_000
 #: Bytes of text whose features are found at once.
-PART = 1_000_000
+PART = 250_000
 NAMES = ["log_words", "hits", "density", "weight_sum", "weight_max", "weight_density", "distinct_hits", "near_you", "you_density", "caps_letters", "caps_words", "punct", "exclaim", "odd_words", "odd_hits", "drawn", "digits", "line_hits"]
 _STEM = np.uint64(0x5851F42D4C957F2D)
 SPACE, ALPHA, LETTER, DIGIT, PUNCT, CAPITAL, UPPER, LOWER, EDGE = (1 << k for k in range(9))
@@ -121,9 +121,16 @@ class Lexicon(dict):
         return out
 
 
-def _same_word(text: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """One place of each (text, word)."""
-    return np.unique(mixed(hashes + text.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)), return_index=True)[1]
+def _by_text(text: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A hash of each (text, word)."""
+    return mixed(hashes + text.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+
+def _sums(mask: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """How often mask holds in a to z, for all pairs of them."""
+    total = np.zeros(len(mask) + 1, np.int64)
+    np.cumsum(mask, out=total[1:])
+    return total[z] - total[a]
 
 
 def features(texts: list[str], lexicon: Lexicon) -> np.ndarray:
@@ -135,8 +142,9 @@ def features(texts: list[str], lexicon: Lexicon) -> np.ndarray:
     n = np.diff(w.per_text)
     text = np.repeat(np.arange(m), n)
     per = lambda where, x=None: np.bincount(where, x, m)
-    _, first, inv = np.unique(w.hashes, return_index=True, return_inverse=True)
-    inv = inv.reshape(-1)
+    _, one, pair = np.unique(_by_text(text, w.hashes), return_index=True, return_inverse=True)
+    _, first, inv = np.unique(w.hashes[one], return_index=True, return_inverse=True)
+    first, inv = one[first], inv.reshape(-1)[pair.reshape(-1)]
     weight = lexicon.weights(w, first)[inv] if len(first) else np.zeros(0, np.int64)
     hit = np.flatnonzero(weight > 0)
     you = np.flatnonzero(np.isin(w.hashes[first], _you())[inv])
@@ -155,7 +163,6 @@ def features(texts: list[str], lexicon: Lexicon) -> np.ndarray:
     owner = np.searchsorted(w.starts, four, "right") - 1
     inside = (owner >= 0) & (four < w.ends[owner]) if len(w.ends) else np.zeros(len(four), bool)
     drawn[owner[inside]] = True
-    one = _same_word(text, w.hashes)
     distinct, distinct_hits, n_drawn = per(text[one]), per(text[one[weight[one] > 0]]), per(text[one[drawn[one]]])
     line = np.unique(np.searchsorted(np.flatnonzero(c == 10), w.starts[hit]), return_index=True)[1]
     hit_lines = per(text[hit[line]])
@@ -165,14 +172,14 @@ def features(texts: list[str], lexicon: Lexicon) -> np.ndarray:
     f = _flags()[c]
     size = np.fromiter(map(len, texts), np.int64, m)
     ends = np.cumsum(size + 1)
-    count = lambda mask: np.add.reduceat(mask, ends - size - 1, dtype=np.int64)
+    count = lambda mask: np.diff(np.searchsorted(np.flatnonzero(mask), ends), prepend=0)
     flagged = lambda bit: (f & bit) != 0
     break_ = c == 10
     lines = count(~break_ & np.append(True, break_[:-1]))
     run = np.flatnonzero(np.diff(np.concatenate([[True], flagged(SPACE)])))
     a, z = run[::2], run[1::2]  # the last character is white space
     which = np.searchsorted(ends, a, "right")
-    in_run = lambda bit: np.add.reduceat(flagged(bit), run, dtype=np.int64)[::2] if len(run) else np.zeros(0, np.int64)
+    in_run = lambda bit: _sums(flagged(bit), a, z)
     caps = per(which[(in_run(UPPER) > 0) & (in_run(LOWER) == 0)])
     other = np.flatnonzero(in_run(ALPHA) < z - a)
     odd, undone = _odd(joined, f, a[other], z[other], which[other], lexicon, m)
@@ -188,9 +195,7 @@ def _odd(joined: str, f: np.ndarray, a: np.ndarray, z: np.ndarray, which: np.nda
     lo, hi = np.searchsorted(inner, a), np.searchsorted(inner, z)
     some = lo < hi
     a, z, which = inner[lo[some]], inner[hi[some] - 1] + 1, which[some]
-    bounds = np.stack([a, z], 1).ravel()
-    in_run = lambda bit: np.add.reduceat((f & bit) != 0, bounds, dtype=np.int64)[::2] if len(bounds) else np.zeros(0, np.int64)
-    is_odd = (in_run(ALPHA) < z - a) & (in_run(LETTER) > 0)
+    is_odd = (_sums((f & ALPHA) != 0, a, z) < z - a) & (_sums((f & LETTER) != 0, a, z) > 0)
     a, z, which = a[is_odd], z[is_odd], which[is_odd]
     found = np.fromiter((lexicon.weight(joined[x:y].lower().translate(UNDO)) > 0 for x, y in zip(a.tolist(), z.tolist())), bool, len(a))
     return np.bincount(which, minlength=m), np.bincount(which[found], minlength=m)
@@ -300,7 +305,7 @@ def entry_counts(texts: list[str], y: list[int], part: list[int]) -> pa.RecordBa
     """(entry, part, neg, pos): in how many of a part's texts of each label a word or stem stands."""
     w = Words(texts, keep=True)
     text = np.repeat(np.arange(len(texts)), np.diff(w.per_text))
-    word = _same_word(text, w.hashes)
+    word = np.unique(_by_text(text, w.hashes), return_index=True)[1]
     size = (w.ends - w.starts)[word]
     hashes, at, cut = [w.hashes[word]], [word], [size]
     for n in STEMS:
@@ -309,7 +314,7 @@ def entry_counts(texts: list[str], y: list[int], part: list[int]) -> pa.RecordBa
         at.append(long)
         cut.append(np.full(len(long), n))
     h, at, cut = map(np.concatenate, (hashes, at, cut))
-    one = _same_word(text[at], h)
+    one = np.unique(_by_text(text[at], h), return_index=True)[1]
     h, at, cut = h[one], at[one], cut[one]
     t, y, part = text[at], np.asarray(y, np.int64), np.asarray(part, np.int64)
     _, first, group = np.unique(mixed(h + part[t].astype(np.uint64)), return_index=True, return_inverse=True)

@@ -147,3 +147,65 @@ def test_ledger_is_idempotent(spark, tmp_path):
     led.commit("d", signed(v2.limit(0), 1))
     led.fold()
     assert led.totals().count() == 0
+
+
+def _delta(spark, n):
+    return spark.createDataFrame([("a", "en", "t", 1, n)], "source string, lang string, tokenizer string, docs long, tokens long")
+
+
+def test_a_batch_that_comes_in_during_a_fold_counts_once(spark, tmp_path, monkeypatch):
+    led = Ledger(spark, str(tmp_path / "ledger"))
+    led.commit("a", _delta(spark, 5))
+    sums = Ledger._sums
+
+    def late(self, snap, rest):
+        monkeypatch.setattr(Ledger, "_sums", sums)
+        assert Ledger(spark, self.path).commit("b", _delta(spark, 7))
+        return sums(self, snap, rest)
+
+    monkeypatch.setattr(Ledger, "_sums", late)
+    assert led.fold()
+    assert [r.tokens for r in led.totals().collect()] == [12]
+    assert led.fold() and [r.tokens for r in led.totals().collect()] == [12]
+    assert not led.commit("a", _delta(spark, 1)) and not led.commit("b", _delta(spark, 1))
+
+
+def test_two_writers_of_one_batch_and_two_folds(spark, tmp_path, monkeypatch):
+    one, two = (Ledger(spark, str(tmp_path / "ledger")) for _ in range(2))
+    monkeypatch.setattr(Ledger, "_names", lambda self: [])  # neither sees the other
+    assert one.commit("x", _delta(spark, 5)) and not two.commit("x", _delta(spark, 9))
+    monkeypatch.undo()
+    assert [r.tokens for r in one.totals().collect()] == [5]
+    monkeypatch.setattr(Ledger, "_visible", lambda self: (None, [], ["batch=x"]))
+    assert one.fold() and not two.fold()
+    monkeypatch.undo()
+    assert [r.tokens for r in two.totals().collect()] == [5]
+    assert not [p for p in (tmp_path / "ledger").iterdir() if p.name.startswith("_new")]
+
+
+def test_query_totals_are_plain_counts(spark, sf):
+    """op10 over its whole table against a tokenizer that encodes one text after the other."""
+    import base64
+    from collections import Counter
+
+    import tiktoken
+
+    from quarry.llm.entry_points import op10_token_rollup
+
+    want = Counter()
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    for name in ("byte_bpe_50k", "byte_bpe_multi_50k"):
+        with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        e = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        for r in rows:
+            want[r.source, r.lang, name] += 1 + (len(e.encode_ordinary(r.text or "")) << 32)
+    got = {(r.source, r.lang, r.tokenizer): r.docs + (r.tokens << 32) for r in op10_token_rollup(spark, sf).collect()}
+    assert got == want
+
+
+def test_counting_edge_cases(spark):
+    empty = count_tokens(spark.createDataFrame([], "doc_id long, text string, source string, lang string"), {"v": PATH})
+    assert empty.count() == 0 and empty.columns == ["doc_id", "source", "lang", "tokenizer", "tokens"]
+    df = spark.createDataFrame([(1, "a b", "s", "l", "x", 5), (None, None, None, None, None, None)], "doc_id long, text string, source string, lang string, tokenizer string, tokens int")
+    assert {tuple(r) for r in count_tokens(df, {"v": PATH}).collect()} == {(1, "s", "l", "v", 2), (None, None, None, "v", 0)}
