@@ -59,8 +59,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    convs = chat.gather(_table(spark, sf_dir, "conversations"))
-    out = chat.preference(convs, chat.swapped_replies(convs))
+    out = chat.format_pairs(chat.with_repeated_reply(chat.gather(_table(spark, sf_dir, "conversations"))))
     size = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["end"] - x["start"]).cast("long")
     return out.select("conv_id", "prompt_turns", F.md5("prompt").alias("prompt_md5"), F.md5("chosen").alias("chosen_md5"), F.md5("rejected").alias("rejected_md5"), size("chosen_spans").alias("chosen_trained"), size("rejected_spans").alias("rejected_trained"))
 

@@ -49,12 +49,30 @@ def test_chat_edge_cases(spark):
     cols = "conv_id long, turn long, role string, text string, prompt string"
     c = spark.createDataFrame([(1, 0, "user", "hi", "p"), (1, 1, "assistant", "yes", "p"), (1, 2, "user", None, "p"), (2, None, None, None, "p"), (3, 0, "assistant", "same", "p"), (None, 0, "user", "n", "p")], cols)
     r = spark.createDataFrame([(1, 0, "user", "hi", "p"), (1, 1, "assistant", "no!", "p"), (3, 5, "assistant", "same", "p"), (4, 0, "assistant", "only", "p"), (None, 0, "user", "n", "p")], cols)
-    got = {x.conv_id: x for x in chat.preference(chat.gather(c), chat.gather(r)).collect()}
+    got = {x.conv_id: x for x in chat.preference(c, r).collect()}
     one = got[1]
     assert one.prompt_turns == 1 and one.prompt == "<|user|>\nhi<|end|>\n"
     assert [one.chosen[s.start : s.end] for s in one.chosen_spans] == ["yes<|end|>\n"] and [one.rejected[s.start : s.end] for s in one.rejected_spans] == ["no!<|end|>\n"]
     assert got[3].prompt_turns == 1 and got[3].chosen == got[3].rejected == ""
     assert got[2].prompt_turns == 0 and got[2].rejected == "" and got[4].chosen == "" and got[4].rejected_spans[0].end == len(got[4].rejected)
     assert got[None].prompt_turns == 1 and len(got) == 5
-    empty = chat.gather(c.limit(0))
-    assert chat.preference(empty, chat.swapped_replies(empty)).count() == 0
+    assert chat.preference(c.limit(0), c.limit(0)).count() == 0 and chat.with_repeated_reply(chat.gather(c.limit(0))).count() == 0
+
+
+def test_repeated_replies_take_any_id(spark):
+    least = -(2**63)
+    rows = [(least, 0, "user", "q"), (least, 1, "assistant", "a"), (least, 2, "user", "r"), (least, 3, "assistant", "b"), (least, 4, "user", "bye"), (7, 0, "assistant", "hi"), (8, 0, "user", "alone"), (None, 0, "user", "q"), (None, 0, "assistant", None), (9, None, None, None)]
+    for kind in ("long", "string"):
+        df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("conv_id", F.col("conv_id").cast(kind))
+        got = {None if r.conv_id is None else int(r.conv_id): ([(t.role, t.text) for t in r.chosen], [(t.role, t.text) for t in r.rejected]) for r in chat.with_repeated_reply(chat.gather(df)).collect()}
+        assert got[least][1] == [("user", "q"), ("assistant", "a"), ("user", "r"), ("assistant", "a")] and len(got[least][0]) == 5
+        assert got[7][1] == [("assistant", "")] and got[8][0] == got[8][1] == [("user", "alone")]
+        assert got[None][1] == [("assistant", "")] and got[9][1] == [("", "")] and len(got) == 5
+        out = {r.conv_id: r for r in chat.format_pairs(chat.with_repeated_reply(chat.gather(df))).collect()}
+        assert {v.prompt_turns for v in out.values()} == {3, 0, 1} and len(out) == 5
+
+
+def test_preference_moves_turns_once(spark, sf):
+    for df in (entry_points.op8_preference(spark, sf), chat.preference(spark.read.parquet(f"{sf}/conversations.parquet"), spark.read.parquet(f"{sf}/conversations.parquet"))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
