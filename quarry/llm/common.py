@@ -102,11 +102,6 @@ def publish(spark: SparkSession, src: str, dst: str) -> bool:
         return False
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a frame's bytes; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def docs_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """Only the columns an operator needs, under fixed names; a null text is empty."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)

@@ -21,7 +21,11 @@ segment.
 
 Texts cross one shuffle, by block, which the three passes share; everything else
 that moves is anchors and segments. No group of documents meets in one task: a
-bucket sees a block's distinct entries, never the documents behind them.
+bucket sees a block's distinct entries, never the documents behind them. A block
+sends one row to each bucket, so blocks grow with the square root of the input
+(from BLOCK_BYTES at BLOCKS_FROM up to MOST_BYTES): rows are then in proportion
+to the input, and an anchor that every block has is a short list. The input's
+size is counted, not estimated, and tasks are as many as blocks ask for.
 
 Edge cases: null texts are empty; texts shorter than `length` lose nothing; rows
 with a null id lose nothing and are no source; rows with equal ids count as one
@@ -39,15 +43,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, docs_of, expand, input_bytes, mixed
-from .tokens import _powers
+from .common import bytes_of, docs_of, expand, mixed
 
 K = 20
-BLOCK_BYTES = 8_000_000
+#: A block's bytes up to an input of BLOCKS_FROM, and at most (128 MB, from about 8 TB on); a worker needs some ten times as much.
+BLOCK_BYTES, BLOCKS_FROM, MOST_BYTES = 8_000_000, 32_000_000_000, 128_000_000
 #: Parts of a block that are hashed at once.
 PART = 1_000_000
-#: Blocks where Catalyst cannot tell the input's size.
-UNKNOWN_BLOCKS = 4096
 NONE = np.iinfo(np.int64).max
 
 
@@ -125,18 +127,19 @@ class Segments:
         first, count = p[at], np.diff(np.append(at, len(p)))
         content = np.zeros(len(at), np.uint64)
         if contents:
-            content = segment_hashes(own[:n], first, count + length - 1)
+            content = segment_hashes(own, first, count + length - 1)
         return doc[at], base + first, count, h[o[at]], content
 
 
 def segment_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Of data[start : start + size], by prefix sums of a polynomial modulo 2**64 over mixed bytes."""
-    pw, inv = _powers(1 << max(20, len(data).bit_length()))
-    v = _BYTE[data]
-    v *= pw[: len(data)]
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(v, out=total[1:])
-    return mixed((total[start + size] - total[start]) * inv[start] + size.astype(np.uint64))
+    """Of data[start : start + size], 8 bytes at a time; data has 8 spare bytes."""
+    h = mixed(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    todo = np.arange(len(start))
+    for k in range(0, int(size.max(initial=0)), 8):
+        todo = todo[size[todo] > k]
+        w = _cut(_words(data, start[todo] + k).byteswap(), np.minimum(size[todo] - k, 8).astype(np.uint64))
+        h[todo] = mixed(h[todo] * np.uint64(0xD1342543DE82EF95) ^ w)
+    return h
 
 
 def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -149,9 +152,6 @@ def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
 # the enhanced suffix array of one bucket
 
 
@@ -283,25 +283,25 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """An order by bucket (stable), and (bucket, first, last) of each one's part in it."""
+def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by bucket (stable), the buckets that have some, and n + 1 edges of their parts in it."""
     b = _bucket(h, buckets)
     order = np.argsort(b, kind="stable")
-    edges = np.flatnonzero(np.diff(np.concatenate([[-1], b[order], [-1]])))
-    return order, [(int(b[order[x]]), int(x), int(y)) for x, y in zip(edges[:-1], edges[1:])]
+    each, first = np.unique(b[order], return_index=True)
+    return order, each, np.append(first, len(b))
 
 
 def _anchors(seg: Segments, ids: np.ndarray, buckets: int):
-    """Distinct anchor hashes by bucket, ascending; whether two documents of the block have it; each segment's entry."""
+    """Distinct anchor hashes by bucket, ascending; whether two documents of the block have it; each segment's entry; buckets and edges."""
     h, at = np.unique(seg.anchor, return_inverse=True)
     at = at.reshape(-1)
     lo, hi = np.full(len(h), NONE), np.full(len(h), -NONE)
     np.minimum.at(lo, at, ids[seg.doc])
     np.maximum.at(hi, at, ids[seg.doc])
-    order, parts = _by_bucket(h, buckets)
+    order, each, edges = _by_bucket(h, buckets)
     place = np.empty(len(h), np.int64)
     place[order] = np.arange(len(h))
-    return h[order], (lo < hi)[order], place[at], parts
+    return h[order], (lo < hi)[order], place[at], each, edges
 
 
 def _segments_of(seg: Segments, keep: np.ndarray, ids: np.ndarray):
@@ -316,11 +316,35 @@ _ROW = "bucket long, block long, a binary, b binary, c binary, d binary, e binar
 _ROW_TYPE = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((c, pa.binary()) for c in "abcde")])
 
 
-def _rows(rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_pylist([dict(zip(_ROW_TYPE.names, (*r, *[None] * (7 - len(r))))) for r in rows], _ROW_TYPE)
+def _table(bucket: np.ndarray, block: np.ndarray | int, **cols: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    """Rows of _ROW. A column is (values end to end, n + 1 edges in them); each row gets its part's bytes."""
+    n = len(bucket)
+    out = [pa.array(bucket, pa.int64()), pa.array(np.broadcast_to(block, n), pa.int64())]
+    for c in "abcde":
+        if c in cols:
+            values, edges = cols[c]
+            off = (edges * values.dtype.itemsize).astype(np.int64)
+            out.append(pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary()))
+        else:
+            out.append(pa.nulls(n, pa.binary()))
+    return pa.Table.from_arrays(out, schema=_ROW_TYPE)
+
+
+def _column(t: pa.Table, name: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """A column's values end to end, and n + 1 edges of the rows in them."""
+    data, off = bytes_of(t.column(name))
+    values = np.frombuffer(data.tobytes(), kind)
+    return values, off // values.dtype.itemsize
+
+
+def layout(total: int, tasks: int, block_bytes: int | None = None) -> tuple[int, int]:
+    """(blocks, partitions) for an input of so many bytes: four blocks a partition, fewer where there are tasks for more partitions."""
+    size = block_bytes or int(min(MOST_BYTES, BLOCK_BYTES * max(1.0, total / BLOCKS_FROM) ** 0.5))
+    blocks = max(1, -(-total // size))
+    return blocks, max(-(-blocks // 4), min(2 * blocks, 8 * tasks))
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None, with_text: bool = True) -> DataFrame:
     """One row for each document: (doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept).
 
     Every byte goes that lies in a string of `length` bytes which also starts in
@@ -330,62 +354,51 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     if length < K + 8:
         raise ValueError(f"length must be {K + 8} or more")
     src = docs_of(docs, id_col, text_col)
-    size = input_bytes(src)
-    # Parquet text takes a few times its bytes on disk; a bucket's segments are several times as long as what they stand for
-    blocks = max(1, -(-4 * size // block_bytes)) if size < 1 << 60 or block_bytes > 1 << 40 else UNKNOWN_BLOCKS
-    buckets = 3 * blocks
+    total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks, parts = layout(total, src.sparkSession.sparkContext.defaultParallelism, block_bytes)
+    near, far = blocks, 3 * blocks  # buckets of anchors and of segments, which are several times as long as what they stand for
     null_ids = src.filter("doc_id IS NULL")
-    own = src.filter("doc_id IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    own = src.filter("doc_id IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition(parts, "block")
 
     def send_anchors(t: pa.Table) -> pa.Table:
         block = t.column("block")[0].as_py()
         _, data, off, ids = _block(t)
-        h, several, _, parts = _anchors(Segments(data, off, length, False), ids, buckets)
-        return _rows([(k, block, h[x:y].tobytes(), np.packbits(several[x:y]).tobytes()) for k, x, y in parts])
+        h, several, _, each, edges = _anchors(Segments(data, off, length, False), ids, near)
+        return _table(each, block, a=(h, edges), b=(several.view(np.uint8), edges))
 
     def find_shared(t: pa.Table) -> pa.Table:
-        hs = [np.frombuffer(x, np.uint64) for x in t.column("a").to_pylist()]
-        several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)) for x, h in zip(t.column("b").to_pylist(), hs)]).astype(bool)
-        _, inv, n = np.unique(np.concatenate(hs), return_inverse=True, return_counts=True)
+        h, edges = _column(t, "a", "<u8")
+        several = _column(t, "b", "u1")[0].astype(bool)
+        _, inv, n = np.unique(h, return_inverse=True, return_counts=True)
         inv = inv.reshape(-1)
         shared = n > 1  # a document is in one block only, so two blocks are two documents
         shared[inv[several]] = True
-        bits, at, out = shared[inv], 0, []
-        for k, block, h in zip(t.column("bucket").to_pylist(), t.column("block").to_pylist(), hs):
-            out.append((k, block, np.packbits(bits[at : at + len(h)]).tobytes()))
-            at += len(h)
-        return _rows(out)
+        return _table(np.asarray(t.column("bucket")), np.asarray(t.column("block")), a=(shared[inv].view(np.uint8), edges))
 
     def send_segments(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _rows([])
+            return _ROW_TYPE.empty_table()
         block = left.column("block")[0].as_py()
         _, data, off, ids = _block(left)
         seg = Segments(data, off, length, True)
-        h, _, entry, parts = _anchors(seg, ids, buckets)
-        shared = np.zeros(len(h), bool)
-        answer = dict(zip(right.column("bucket").to_pylist(), right.column("a").to_pylist()))
-        for k, x, y in parts:
-            shared[x:y] = np.unpackbits(np.frombuffer(answer[k], np.uint8), count=y - x)
+        _, _, entry, _, _ = _anchors(seg, ids, near)
+        shared = _column(right.sort_by("bucket"), "a", "u1")[0].astype(bool)
         one, low = _segments_of(seg, np.flatnonzero(shared[entry]), ids)
-        order, parts = _by_bucket(seg.anchor[one], buckets)
+        order, each, edges = _by_bucket(seg.anchor[one], far)
         one, low = one[order], low[order]
         size = seg.count[one] + length - 1
         text = gather(data, seg.first[one], size)
         at = np.append(0, np.cumsum(size))
         # the anchor stands at or after the last window's start
         lead = _anchor_places(text, at, seg.anchor[one], seg.count[one])
-        return _rows([(k, block, text[at[x] : at[y]].tobytes(), size[x:y].astype("<u2").tobytes(), lead[x:y].astype(np.uint8).tobytes(), low[x:y].astype("<i8").tobytes()) for k, x, y in parts])
+        return _table(each, block, a=(text, at[edges]), b=(size.astype("<u2"), edges), c=(lead.astype(np.uint8), edges), d=(low.astype("<i8"), edges))
 
     def find_least(t: pa.Table) -> pa.Table:
-        cols = [t.column(c).to_pylist() for c in "abcd"]
-        n = [len(x) // 2 for x in cols[1]]
-        text = np.frombuffer(b"".join(cols[0]), np.uint8)
-        size = np.frombuffer(b"".join(cols[1]), "<u2").astype(np.int64)
-        lead = np.frombuffer(b"".join(cols[2]), np.uint8).astype(np.int64)
-        low = np.frombuffer(b"".join(cols[3]), "<i8")
+        text = bytes_of(t.column("a"))[0]
+        size, edges = _column(t, "b", "<u2")
+        size, lead, low = size.astype(np.int64), _column(t, "c", "u1")[0].astype(np.int64), _column(t, "d", "<i8")[0]
         at = np.append(0, np.cumsum(size))
-        content = segment_hashes(text, at[:-1], size)
+        content = segment_hashes(np.concatenate([text, np.zeros(8, np.uint8)]), at[:-1], size)
         _, first, inv = np.unique(content, return_index=True, return_inverse=True)
         inv = inv.reshape(-1)
         least = np.full(len(first), NONE)
@@ -394,15 +407,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         part, off, by_window = _least_ids(gather(text, at[:-1][first], some), np.append(0, np.cumsum(some)), lead[first], least, length)
         where = np.full(len(first), -1)
         where[part] = np.arange(len(part))
-        out, x = [], 0
-        for k, block, m in zip(t.column("bucket").to_pylist(), t.column("block").to_pylist(), n):
-            u = inv[x : x + m]
-            w = where[u]
-            hit = np.flatnonzero(w >= 0)
-            cnt = (off[1:] - off[:-1])[w[hit]]
-            out.append((k, block, content[x : x + m].tobytes(), least[u].astype("<i8").tobytes(), hit.astype("<i8").tobytes(), by_window[expand(off[:-1][w[hit]], cnt)].astype("<i8").tobytes()))
-            x += m
-        return _rows(out)
+        w = where[inv]
+        hit = np.flatnonzero(w >= 0)
+        row = np.searchsorted(edges, hit, "right") - 1
+        cnt = np.diff(off)[w[hit]]
+        hits = np.searchsorted(hit, edges)
+        return _table(np.asarray(t.column("bucket")), np.asarray(t.column("block")), a=(content, edges), b=(least[inv].astype("<i8"), edges), c=((hit - edges[row]).astype("<i8"), hits), d=(by_window[expand(off[:-1][w[hit]], cnt)].astype("<i8"), np.append(0, np.cumsum(cnt))[hits]))
 
     def mark(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -411,12 +421,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         cover = np.zeros(len(data) + 1, np.int32)
         if right.num_rows:
             seg = Segments(data, off, length, True)
-            cols = [right.column(c).to_pylist() for c in "abcd"]
-            content = np.frombuffer(b"".join(cols[0]), np.uint64)
-            least = np.frombuffer(b"".join(cols[1]), "<i8")
-            base = np.cumsum([0, *(len(x) // 8 for x in cols[0])])[:-1]
-            hit = np.concatenate([np.frombuffer(x, "<i8") + b for x, b in zip(cols[2], base)])
-            by_window = np.frombuffer(b"".join(cols[3]), "<i8")
+            content, edges = _column(right, "a", "<u8")
+            least = _column(right, "b", "<i8")[0]
+            hit, hits = _column(right, "c", "<i8")
+            hit = hit + np.repeat(edges[:-1], np.diff(hits))
+            by_window = _column(right, "d", "<i8")[0]
             order = np.argsort(content)
             at = np.minimum(np.searchsorted(content, seg.content, sorter=order), max(0, len(content) - 1))
             place = order[at] if len(order) else at
@@ -438,11 +447,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         gone = np.cumsum(cover[:-1]) > 0
         return _result(t, data, off, gone, with_text)
 
+    by_bucket = lambda df: df.repartition(parts, "bucket").groupBy("bucket")
+    by_block = lambda df: df.repartition(parts, "block").groupBy("block")
     anchors = own.groupBy("block").applyInArrow(send_anchors, _ROW)
-    shared = anchors.groupBy("bucket").applyInArrow(find_shared, _ROW)
-    sent = own.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_segments, _ROW)
-    least = sent.groupBy("bucket").applyInArrow(find_least, _ROW)
-    done = own.groupBy("block").cogroup(least.groupBy("block")).applyInArrow(mark, RESULT)
+    shared = by_bucket(anchors).applyInArrow(find_shared, _ROW)
+    sent = own.groupBy("block").cogroup(by_block(shared)).applyInArrow(send_segments, _ROW)
+    least = by_bucket(sent).applyInArrow(find_least, _ROW)
+    done = own.groupBy("block").cogroup(by_block(least)).applyInArrow(mark, RESULT)
     alone = null_ids.mapInArrow(lambda it: (_result(pa.Table.from_batches([b]), *bytes_of(b.column(1)), np.zeros(len(bytes_of(b.column(1))[0]), bool), with_text).to_batches()[0] for b in it if b.num_rows), RESULT)
     return done.unionByName(alone)
 

@@ -47,17 +47,6 @@ def _classes() -> np.ndarray:
     return out
 
 
-@functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE**i and its inverse, both modulo 2**64."""
-    out = []
-    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.ones(n + 1, np.uint64)
-        p[1:] = np.uint64(b)
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
 def place_hashes(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int) -> np.ndarray:
     """A mixed 64-bit value for each (place in its run, code point); runs are starts to ends, ascending."""
     bounds = np.concatenate([[0], np.stack([starts, ends], 1).ravel(), [len(cps)]])
