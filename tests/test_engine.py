@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry import Engine, TableExists, TableMissing, ddl_type
-from quarry.errors import ConstraintViolation, SyntaxProblem, WriteConflict
+from quarry.errors import ConstraintViolation, EngineError, SyntaxProblem, WriteConflict
 from quarry.operators import access, joins
 from quarry.streaming import tumbling
 
@@ -106,6 +106,134 @@ def test_two_writers_and_transactions(spark, tmp_path):
     again.close()
 
 
+def test_rollback_keeps_what_another_writer_committed(spark, tmp_path):
+    one = Engine(spark, str(tmp_path / "wh"))
+    one.sql("CREATE TABLE t (id INT)")
+    one.sql("CREATE TABLE u (id INT)")
+    one.insert("t", [(0,)])
+    two = Engine(spark, str(tmp_path / "wh"))
+    ids = lambda e, t="t": sorted(r.id for r in e.table(t).collect())
+    with pytest.raises(WriteConflict), one.transaction("t"):
+        one.insert("t", [(1,)])
+        assert ids(one) == [0, 1] and ids(Engine(spark, str(tmp_path / "wh"))) == [0]
+        two.insert("t", [(2,)])
+    assert ids(one) == ids(Engine(spark, str(tmp_path / "wh"))) == [0, 2]
+    with pytest.raises(WriteConflict), one.transaction("t", "u"):  # a table that is only read
+        one.insert("u", [(len(ids(one)),)])
+        two.insert("t", [(3,)])
+    assert ids(one) == [0, 2, 3] and ids(one, "u") == []
+    with pytest.raises(ZeroDivisionError), one.transaction():
+        one.delete("t")
+        two.insert("t", [(4,)])
+        1 / 0
+    assert ids(Engine(spark, str(tmp_path / "wh"))) == [0, 2, 3, 4]
+    again = Engine(spark, str(tmp_path / "wh"))
+    with again.transaction("t", "u"):
+        again.delete("t", "id > 2")
+        point = again.savepoint("u")
+        again.insert("u", [(9,)])
+        again.rollback_to("u", point)
+        again.insert("u", [(7,)])
+        with pytest.raises(EngineError), again.transaction("t"):
+            pass
+        with pytest.raises(EngineError):
+            again.vacuum("t")
+    last = Engine(spark, str(tmp_path / "wh"))
+    assert ids(last) == [0, 2] and ids(last, "u") == [7]
+    folders = {p.name for p in (tmp_path / "wh/t").glob("d*")}
+    assert folders == {x for v in last.catalog.meta("t").versions.values() for x in v}
+
+
+def test_ddl_spellings_and_rules(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "wh"))
+    e.sql("CREATE TABLE p (a VARCHAR(10), b DECIMAL(10, 2), c CHAR(3) NOT NULL, d DOUBLE PRECISION, PRIMARY KEY (a, b))")
+    assert [f.dataType.simpleString() for f in e.schema("p")] == ["string", "decimal(10,2)", "string", "double"] and [f.nullable for f in e.schema("p")] == [False, False, False, True]
+    e.sql("INSERT INTO p VALUES ('x', 1.50, 'abc', 1), ('x', 2.5, 'abc', 1)")
+    for bad in ("('x', 1.5, 'z', 1)", "(NULL, 1, 'z', 1)", "('y', 1, NULL, 1)"):
+        with pytest.raises(ConstraintViolation):
+            e.sql(f"INSERT INTO p VALUES {bad}")
+    e.sql("CREATE TABLE q (id INT PRIMARY KEY, n INT CHECK (n > 0 AND n < 10), w TEXT DEFAULT 'none', up INT, FOREIGN KEY (up) REFERENCES q (id), CHECK (w <> 'bad'))")
+    e.sql("INSERT INTO q (id, n) VALUES (1, 2)")
+    e.sql("INSERT INTO q (id, n, up) VALUES (2, NULL, 1), (3, 3, 2)")
+    for bad in ("(4, 10, 'x', NULL)", "(4, 1, 'bad', NULL)", "(4, 1, 'x', 99)"):
+        with pytest.raises(ConstraintViolation):
+            e.sql(f"INSERT INTO q VALUES {bad}")
+    e.sql("CREATE TABLE r (id INT REFERENCES q(id))")
+    e.sql("INSERT INTO r VALUES (3), (NULL)")
+    with pytest.raises(ConstraintViolation):
+        e.sql("DELETE FROM q WHERE id = 3")
+    with pytest.raises(ConstraintViolation):
+        e.sql("DROP TABLE q")
+    assert sorted((x.id, x.w) for x in e.table("q").collect()) == [(1, "none"), (2, "none"), (3, "none")]
+    for bad in ("z (a INT, a INT)", "z (a DECIMAL(50, 2))", "z (a INT(3))", "z (a INT, PRIMARY KEY (b))", "z (PRIMARY KEY (a))"):
+        with pytest.raises(SyntaxProblem):
+            e.sql(f"CREATE TABLE {bad}")
+    e.close()
+    again = Engine(spark, str(tmp_path / "wh"))
+    with pytest.raises(ConstraintViolation):
+        again.sql("INSERT INTO q VALUES (9, 11, 'x', NULL)")
+    again.close()
+
+
+def test_views_indexes_alter_copy_and_spaces(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "wh"))
+    e.sql(f"CREATE TABLESPACE far LOCATION '{tmp_path}/far'")
+    e.sql("CREATE TABLE t (id INT, v TEXT) TABLESPACE far")
+    e.sql("INSERT INTO t VALUES (1, 'a'), (2, 'b'), (2, NULL)")
+    assert (tmp_path / "far/t").exists() and not (tmp_path / "wh/t").exists()
+    e.sql("CREATE VIEW big AS SELECT id, POWER(id, 2) AS sq FROM t WHERE id > 1")
+    assert [tuple(r) for r in e.sql("SELECT DISTINCT sq FROM big").collect()] == [(4,)]
+    with pytest.raises(ConstraintViolation):
+        e.sql("CREATE UNIQUE INDEX ON t (id)")
+    e.sql("CREATE INDEX by_id ON t (id, v)")
+    e.sql("ALTER TABLE t ADD COLUMN w BIGINT")
+    e.sql("UPDATE t SET w = id * 10")
+    e.sql("ALTER TABLE t RENAME COLUMN w TO tens")
+    e.sql("ALTER TABLE t DROP COLUMN v")
+    assert sorted(tuple(r) for r in e.table("t").collect()) == [(1, 10), (2, 20), (2, 20)]
+    for kind in ("csv", "json", "orc", "parquet"):
+        e.sql(f"COPY t TO '{tmp_path}/{kind}' (FORMAT {kind})")
+        e.sql("TRUNCATE TABLE t")
+        assert e.table("t").count() == 0
+        e.sql(f"COPY t FROM '{tmp_path}/{kind}' (FORMAT {kind})")
+        assert sorted(tuple(r) for r in e.table("t").collect()) == [(1, 10), (2, 20), (2, 20)]
+    e.sql("CREATE TABLE s AS SELECT id, tens FROM t WHERE id = 1")
+    e.sql("ALTER TABLE s RENAME TO s2")
+    e.sql("VACUUM t")
+    e.close()
+    again = Engine(spark, str(tmp_path / "wh"))
+    assert again.list_tables() == ["s2", "t"] and again.sql("SELECT * FROM s2").count() == 1
+    assert again.sql("SELECT * FROM big").count() == 2
+    again.sql("DROP VIEW big")
+    with pytest.raises(TableMissing):
+        again.sql("DROP VIEW big")
+    again.sql("DROP VIEW IF EXISTS big")
+    again.close()
+
+
+def test_power_and_arrow_cast_go_by_types(engine):
+    r = engine.sql("SELECT POWER(id + 1, 2) AS a, POWER(id, 0.5) AS b, POWER(POWER(id + 2, 2), CAST(1 AS DOUBLE)) AS c, arrow_cast(id * 1000, 'Timestamp(Millisecond, None)') AS t, arrow_cast('7', 'Int64') AS n, 'POWER(' AS s FROM range(2)")
+    assert [f.dataType.simpleString() for f in r.schema] == ["bigint", "double", "double", "timestamp_ntz", "bigint", "string"]
+    assert sorted(tuple(x) for x in r.collect()) == [(1, 0.0, 4.0, dt.datetime(1970, 1, 1), 7, "POWER("), (4, 1.0, 9.0, dt.datetime(1970, 1, 1, 0, 0, 1), 7, "POWER(")]
+    with pytest.raises(SyntaxProblem):
+        engine.sql("SELECT POWER(1, 2")
+
+
+def test_sources_round_trip(spark, tmp_path):
+    from quarry import sources
+
+    df = spark.createDataFrame([(1, "a", 1.5), (2, None, None)], "id int, s string, d double")
+    for kind in ("parquet", "orc", "json", "csv"):
+        sources.write(df, str(tmp_path / kind), kind, partition_by=["id"] if kind == "parquet" else None)
+        got = sources.read(spark, str(tmp_path / kind), kind, df.schema)
+        assert {tuple(r) for r in got.select("id", "s", "d").collect()} == {(1, "a", 1.5), (2, None, None)}
+    many = str(tmp_path / "many")
+    df.repartition(8).unionByName(df.repartition(8)).write.parquet(many)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    sources.compact(spark, many, str(tmp_path / "few"))
+    assert spark.read.parquet(str(tmp_path / "few")).count() == 4 and spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
 def test_temp_table_and_insert_select(engine):
     engine.sql("CREATE TEMP TABLE s (a INT, b TEXT)")
     engine.sql("INSERT INTO s VALUES (1, 'p'), (2, 'q')")
