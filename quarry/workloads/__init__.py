@@ -11,7 +11,9 @@ from ..operators.ranking import latest
 def order_status(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Each customer's latest order, with the number and value of its lines."""
     last = latest(orders.select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus"), ["o_custkey"], ["o_orderdate", "o_orderkey"])
-    lines = lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("l_extendedprice").alias("amount"))
+    # only the latest orders' lines are added up
+    own = lineitem.join(last.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    lines = own.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("l_extendedprice").alias("amount"))
     return last.join(lines, last.o_orderkey == lines.l_orderkey, "left").select("o_custkey", "o_orderkey", "o_orderstatus", F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"), F.round(F.coalesce("amount", F.lit(0.0)), 2).alias("amount"))
 
 
