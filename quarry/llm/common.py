@@ -8,10 +8,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..files import rename_once
+
 MASK = (1 << 64) - 1
 
 
@@ -87,19 +88,11 @@ def hadoop(spark: SparkSession, path: str):
 
 def publish(spark: SparkSession, src: str, dst: str) -> bool:
     """Renames a folder that holds files, at once or not at all; False, and src is deleted, where dst is already there."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    a, b = (jvm.org.apache.hadoop.fs.Path(p) for p in (src, dst))
-    fs = a.getFileSystem(conf)
-    a, b = fs.makeQualified(a), fs.makeQualified(b)
-    none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-    try:
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(a.toUri(), conf).rename(a, b, none)
-        return True
-    except Py4JJavaError:
-        if not fs.exists(b):
-            raise
-        fs.delete(a, True)
-        return False
+    done = rename_once(spark, src, dst)
+    if not done:
+        fs, p = hadoop(spark, src)
+        fs.delete(p, True)
+    return done
 
 
 def docs_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:

@@ -7,10 +7,11 @@ penalty). A window of a power-of-two length needs no padding; any other is
 padded to `window`. With f(j) the least cost of the stream up to cut j,
 
     f(j) = penalty(j) + min( window - pos(j) + min over i with pos(i) >= pos(j) - window of (f(i) + pos(i)),
-                             min over powers of two p < window with a cut at pos(j) - p of f(that cut) )
+                             min over powers of two p, window / 8 <= p < window, with a cut at pos(j) - p, of f(that cut) )
 
 and the inner minimum over a sliding range is kept in a monotone queue: every
-cut enters and leaves it once.
+cut enters and leaves it once. Shorter powers of two are not looked for, so that
+no document is cut to crumbs for their sake.
 
 Edge cases: a null text is empty and makes one piece, its end token. A null
 doc_id stays null. Repeated rows are packed as often as they occur. Each Arrow
