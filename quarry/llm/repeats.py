@@ -50,6 +50,7 @@ K = 20
 BLOCK_BYTES, BLOCKS_FROM, MOST_BYTES = 8_000_000, 32_000_000_000, 128_000_000
 #: Parts of a block that are hashed at once.
 PART = 1_000_000
+MOST_PARTS = 8192
 NONE = np.iinfo(np.int64).max
 
 
@@ -337,11 +338,11 @@ def _column(t: pa.Table, name: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return values, off // values.dtype.itemsize
 
 
-def layout(total: int, tasks: int, block_bytes: int | None = None) -> tuple[int, int]:
-    """(blocks, partitions) for an input of so many bytes: four blocks a partition, fewer where there are tasks for more partitions."""
+def layout(total: int, block_bytes: int | None = None) -> tuple[int, int]:
+    """(blocks, partitions) for an input of so many bytes: half a block a partition on average up to MOST_PARTS of them, then some blocks, four at most."""
     size = block_bytes or int(min(MOST_BYTES, BLOCK_BYTES * max(1.0, total / BLOCKS_FROM) ** 0.5))
     blocks = max(1, -(-total // size))
-    return blocks, max(-(-blocks // 4), min(2 * blocks, 8 * tasks))
+    return blocks, max(-(-blocks // 4), min(2 * blocks, MOST_PARTS))
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None, with_text: bool = True) -> DataFrame:
@@ -355,7 +356,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         raise ValueError(f"length must be {K + 8} or more")
     src = docs_of(docs, id_col, text_col)
     total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, parts = layout(total, src.sparkSession.sparkContext.defaultParallelism, block_bytes)
+    blocks, parts = layout(total, block_bytes)
     near, far = blocks, 3 * blocks  # buckets of anchors and of segments, which are several times as long as what they stand for
     null_ids = src.filter("doc_id IS NULL")
     own = src.filter("doc_id IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition(parts, "block")

@@ -111,8 +111,8 @@ def test_segment_hashes_tell_contents_apart():
 
 def test_messages_stay_in_proportion_to_the_input():
     for total in (0, 10**6, 5 * 10**8, 3 * 10**10, 10**12, 10**14):
-        blocks, parts = rp.layout(total, 6)
-        assert blocks <= 10**6 and blocks * blocks <= max(1, total / 15 / 8) and 1 <= parts <= max(48, blocks)
+        blocks, parts = rp.layout(total)
+        assert blocks <= 10**6 and blocks * blocks <= max(1, total / 15 / 8) and 1 <= parts <= max(2 * blocks, 8192) and 4 * parts >= blocks
         assert blocks * rp.MOST_BYTES >= total
 
 
