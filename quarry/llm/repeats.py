@@ -19,6 +19,9 @@ segment.
    segment, the least id for every window.
 3. Blocks mark the bytes of all windows that an earlier document has.
 
+`repeat_groups` lists the repeats themselves with all occurrences, by the same
+passes: buckets answer how often each window occurs instead of its least id.
+
 Texts cross one shuffle, by block, which the three passes share; everything else
 that moves is anchors and segments. No group of documents meets in one task: a
 bucket sees a block's distinct entries, never the documents behind them. A block
@@ -292,19 +295,24 @@ def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.
     return order, each, np.append(first, len(b))
 
 
-def _anchors(seg: Segments, ids: np.ndarray, buckets: int):
-    """Distinct anchor hashes by bucket, ascending; whether two documents of the block have it; each segment's entry; buckets and edges."""
+def _anchors(seg: Segments, owner: np.ndarray, buckets: int):
+    """Distinct anchor hashes by bucket, ascending; whether segments of two owners have it; each segment's entry; buckets and edges."""
     h, at = np.unique(seg.anchor, return_inverse=True)
     at = at.reshape(-1)
     lo, hi = np.full(len(h), NONE), np.full(len(h), -NONE)
-    np.minimum.at(lo, at, ids[seg.doc])
-    np.maximum.at(hi, at, ids[seg.doc])
+    np.minimum.at(lo, at, owner)
+    np.maximum.at(hi, at, owner)
     order, each, edges = _by_bucket(h, buckets)
     place = np.empty(len(h), np.int64)
     place[order] = np.arange(len(h))
     return h[order], (lo < hi)[order], place[at], each, edges
 
 
+def _owners(seg: Segments, ids: np.ndarray, within: bool) -> np.ndarray:
+    """Whose each segment is: its document's, or its own where repeats within a document count."""
+    return np.arange(len(seg.doc)) if within else ids[seg.doc]
+
+
 def _segments_of(seg: Segments, keep: np.ndarray, ids: np.ndarray):
     """Distinct segments among those in keep: one's index, and the least id of each."""
     c, first, inv = np.unique(seg.content[keep], return_index=True, return_inverse=True)
@@ -345,26 +353,24 @@ def layout(total: int, block_bytes: int | None = None) -> tuple[int, int]:
     return blocks, max(-(-blocks // 4), min(2 * blocks, MOST_PARTS))
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None, with_text: bool = True) -> DataFrame:
-    """One row for each document: (doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept).
+def _grouped(df: DataFrame, parts: int, key: str):
+    return df.repartition(parts, key).groupBy(key)
 
-    Every byte goes that lies in a string of `length` bytes which also starts in
-    a document with a smaller id. spans: array<struct<start, end>> of removed
-    runs in bytes; kept: the bytes that stay (null unless with_text).
-    """
+
+def _shared_anchors(src: DataFrame, length: int, block_bytes: int | None, within: bool) -> tuple[DataFrame, DataFrame, int, int, int]:
+    """Documents by block; for each block and bucket a bit per entry, whether another document (within: another place) has the anchor; partitions; buckets of anchors and of segments."""
     if length < K + 8:
         raise ValueError(f"length must be {K + 8} or more")
-    src = docs_of(docs, id_col, text_col)
     total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, parts = layout(total, block_bytes)
-    near, far = blocks, 3 * blocks  # buckets of anchors and of segments, which are several times as long as what they stand for
-    null_ids = src.filter("doc_id IS NULL")
+    near, far = blocks, 3 * blocks  # segments are several times as long as what they stand for
     own = src.filter("doc_id IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition(parts, "block")
 
     def send_anchors(t: pa.Table) -> pa.Table:
         block = t.column("block")[0].as_py()
         _, data, off, ids = _block(t)
-        h, several, _, each, edges = _anchors(Segments(data, off, length, False), ids, near)
+        seg = Segments(data, off, length, False)
+        h, several, _, each, edges = _anchors(seg, _owners(seg, ids, within), near)
         return _table(each, block, a=(h, edges), b=(several.view(np.uint8), edges))
 
     def find_shared(t: pa.Table) -> pa.Table:
@@ -376,13 +382,28 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         shared[inv[several]] = True
         return _table(np.asarray(t.column("bucket")), np.asarray(t.column("block")), a=(shared[inv].view(np.uint8), edges))
 
+    anchors = own.groupBy("block").applyInArrow(send_anchors, _ROW)
+    return own, _grouped(anchors, parts, "bucket").applyInArrow(find_shared, _ROW), parts, near, far
+
+
+def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None, with_text: bool = True) -> DataFrame:
+    """One row for each document: (doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept).
+
+    Every byte goes that lies in a string of `length` bytes which also starts in
+    a document with a smaller id. spans: array<struct<start, end>> of removed
+    runs in bytes; kept: the bytes that stay (null unless with_text).
+    """
+    src = docs_of(docs, id_col, text_col)
+    null_ids = src.filter("doc_id IS NULL")
+    own, shared, parts, near, far = _shared_anchors(src, length, block_bytes, within=False)
+
     def send_segments(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _ROW_TYPE.empty_table()
         block = left.column("block")[0].as_py()
         _, data, off, ids = _block(left)
         seg = Segments(data, off, length, True)
-        _, _, entry, _, _ = _anchors(seg, ids, near)
+        _, _, entry, _, _ = _anchors(seg, ids[seg.doc], near)
         shared = _column(right.sort_by("bucket"), "a", "u1")[0].astype(bool)
         one, low = _segments_of(seg, np.flatnonzero(shared[entry]), ids)
         order, each, edges = _by_bucket(seg.anchor[one], far)
@@ -448,17 +469,137 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         gone = np.cumsum(cover[:-1]) > 0
         return _result(t, data, off, gone, with_text)
 
-    by_bucket = lambda df: df.repartition(parts, "bucket").groupBy("bucket")
-    by_block = lambda df: df.repartition(parts, "block").groupBy("block")
-    anchors = own.groupBy("block").applyInArrow(send_anchors, _ROW)
-    shared = by_bucket(anchors).applyInArrow(find_shared, _ROW)
-    sent = own.groupBy("block").cogroup(by_block(shared)).applyInArrow(send_segments, _ROW)
-    least = by_bucket(sent).applyInArrow(find_least, _ROW)
-    done = own.groupBy("block").cogroup(by_block(least)).applyInArrow(mark, RESULT)
+    sent = own.groupBy("block").cogroup(_grouped(shared, parts, "block")).applyInArrow(send_segments, _ROW)
+    least = _grouped(sent, parts, "bucket").applyInArrow(find_least, _ROW)
+    done = own.groupBy("block").cogroup(_grouped(least, parts, "block")).applyInArrow(mark, RESULT)
     alone = null_ids.mapInArrow(lambda it: (_result(pa.Table.from_batches([b]), *bytes_of(b.column(1)), np.zeros(len(bytes_of(b.column(1))[0]), bool), with_text).to_batches()[0] for b in it if b.num_rows), RESULT)
     return done.unionByName(alone)
 
 
+def repeat_groups(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
+    """Repeats of `length` bytes or more with all their occurrences, one row for each: (repeat, depth, n, doc_id, start).
+
+    Neighbouring windows of `length` bytes belong together where both, and the two as
+    one string, occur equally often; a repeat is a longest run of such windows that
+    occur more than once. It can be extended on neither side without losing some
+    occurrences or gaining others, and each repeated window of a document lies in
+    exactly one repeat, so rows are never more than bytes. (A long repeat whose inner
+    part occurs more often is therefore given as several; `maximal_repeats` nests them.)
+
+    repeat: a 128-bit hash of the string, in hexadecimal, equal wherever it stands;
+    depth: its bytes; n: its occurrences, this one included, in whatever document, the
+    same one too; start: in bytes. Windows are counted in the buckets of their anchors,
+    from the suffix array's intervals at depth `length` and one byte more; no group meets
+    in one task. Rows with a null id are left out; rows with equal ids count one by one.
+    """
+    own, shared, parts, near, far = _shared_anchors(docs_of(docs, id_col, text_col), length, block_bytes, within=True)
+
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _ROW_TYPE.empty_table()
+        block = left.column("block")[0].as_py()
+        _, data, off, ids = _block(left)
+        seg = Segments(data, off, length, False)
+        entry = _anchors(seg, _owners(seg, ids, True), near)[2]
+        keep = np.flatnonzero(_column(right.sort_by("bucket"), "a", "u1")[0].astype(bool)[entry])
+        content, size = _followed(data, off, seg, keep, length)
+        _, first, n = np.unique(content, return_index=True, return_counts=True)
+        one, size = keep[first], size[first]
+        order, each, edges = _by_bucket(seg.anchor[one], far)
+        one, size, n = one[order], size[order], n[order]
+        at = np.append(0, np.cumsum(size))
+        return _table(each, block, a=(gather(data, seg.first[one], size), at[edges]), b=(size.astype("<u2"), edges), c=(seg.count[one].astype("<u2"), edges), d=(n.astype("<i8"), edges), e=(seg.anchor[one], edges))
+
+    def count(t: pa.Table) -> pa.Table:
+        text = bytes_of(t.column("a"))[0]
+        size, edges = _column(t, "b", "<u2")
+        size, windows, n, anchor = size.astype(np.int64), _column(t, "c", "<u2")[0].astype(np.int64), _column(t, "d", "<i8")[0], _column(t, "e", "<u8")[0]
+        at = np.append(0, np.cumsum(size))
+        content = segment_hashes(np.concatenate([text, np.zeros(8, np.uint8)]), at[:-1], size)
+        _, first, inv = np.unique(content, return_index=True, return_inverse=True)
+        inv = inv.reshape(-1)
+        total = np.zeros(len(first), np.int64)
+        np.add.at(total, inv, n)
+        some = size[first]
+        run_at, runs, each, longer = _counts(gather(text, at[:-1][first], some), np.append(0, np.cumsum(some)), windows[first], total, anchor[first], length)
+        per = runs[inv]
+        pick = expand((np.cumsum(runs) - runs)[inv], per)
+        inside = np.append(0, np.cumsum(per))[edges]
+        return _table(np.asarray(t.column("bucket")), np.asarray(t.column("block")), a=(content, edges), b=(per.astype("<i8"), edges), c=(run_at[pick].astype("<i8"), inside), d=(each[pick].astype("<i8"), inside), e=(longer[pick].astype("<i8"), inside))
+
+    def list_groups(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _GROUP.empty_table()
+        _, data, off, ids = _block(left)
+        seg = Segments(data, off, length, False)
+        known, per = _column(right, "a", "<u8")[0], _column(right, "b", "<i8")[0]
+        run_at, each, longer = (_column(right, c, "<i8")[0] for c in "cde")
+        order = np.argsort(known)
+        content, _ = _followed(data, off, seg, np.arange(len(seg.doc)), length)
+        place = order[np.minimum(np.searchsorted(known, content, sorter=order), len(known) - 1)] if len(known) else np.zeros(0, np.int64)
+        has = np.flatnonzero(known[place] == content) if len(known) else np.zeros(0, np.int64)
+        place = place[has]
+        pick = expand((np.cumsum(per) - per)[place], per[place])
+        owner = np.repeat(has, per[place])
+        start, n, m = seg.first[owner] + run_at[pick], each[pick], longer[pick]
+        # a run ends where the next one of its segment starts, or with the segment
+        end = seg.first[owner] + seg.count[owner]
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        end[inner] = start[inner + 1]
+        # windows that occur more often than with their next byte stand alone
+        twice = n > 1
+        start, end, n, m, owner = start[twice], end[twice], n[twice], m[twice], owner[twice]
+        cuts = np.where(n == m, 1, end - start)
+        width = np.repeat(np.where(n == m, end - start, 1), cuts)
+        start, n, m, doc = expand(start, cuts), np.repeat(n, cuts), np.repeat(m, cuts), np.repeat(seg.doc[owner], cuts)
+        joined = (doc[1:] == doc[:-1]) & (start[1:] == start[:-1] + width[:-1]) & (n[1:] == n[:-1]) & (m[:-1] == n[1:])
+        first = np.flatnonzero(np.append(True, ~joined)[: len(start)])
+        last = np.append(first[1:], len(start))[: len(first)] - 1
+        a, z = start[first], start[last] + width[last] + length - 1
+        keys = [hashlib.blake2b(data[x:y].tobytes(), digest_size=16).hexdigest() for x, y in zip(a.tolist(), z.tolist())]
+        return pa.Table.from_arrays([pa.array(keys, pa.string()), pa.array(z - a), pa.array(n[first]), pa.array(ids[doc[first]]), pa.array(a - off[doc[first]])], schema=_GROUP)
+
+    sent = own.groupBy("block").cogroup(_grouped(shared, parts, "block")).applyInArrow(send, _ROW)
+    counted = _grouped(sent, parts, "bucket").applyInArrow(count, _ROW)
+    return own.groupBy("block").cogroup(_grouped(counted, parts, "block")).applyInArrow(list_groups, GROUPS)
+
+
+GROUPS = "repeat string, depth long, n long, doc_id long, start long"
+_GROUP = pa.schema([("repeat", pa.string()), *((c, pa.int64()) for c in ("depth", "n", "doc_id", "start"))])
+
+
+def _followed(data: np.ndarray, off: np.ndarray, seg: Segments, which: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and sizes of segments with the byte that follows in their document, where there is one."""
+    first = seg.first[which]
+    size = np.minimum(seg.count[which] + length, off[seg.doc[which] + 1] - first)
+    return segment_hashes(np.concatenate([data, np.zeros(8, np.uint8)]), first, size), size
+
+
+def _counts(data: np.ndarray, off: np.ndarray, windows: np.ndarray, times: np.ndarray, anchor: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For distinct segments that occur so many times: how often each window occurs, alone and with its next byte (0 without one).
+
+    Given as runs of equal pairs: first window of each run, runs of each segment, the two counts.
+    """
+    seg = np.repeat(np.arange(len(windows)), windows)
+    start = expand(off[:-1], windows)
+    stop = np.minimum(start + length + 1, off[1:][seg])
+    each, longer = times[seg], np.where(stop - start > length, times[seg], 0)
+    _, inv, n = np.unique(anchor, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(n[inv.reshape(-1)][seg] > 1)  # one anchor, several segments: they share windows in part
+    if len(some):
+        order, lcp = suffix_array(data, start[some], stop[some])
+        at = some[order]
+        for depth, out in ((length, each), (length + 1, longer)):
+            group = np.cumsum(lcp < depth) - 1
+            sums = np.zeros(int(group[-1]) + 1, np.int64)
+            np.add.at(sums, group, times[seg[at]])
+            out[at] = np.where(stop[at] - start[at] >= depth, sums[group], 0)
+    new = np.ones(len(seg), bool)
+    new[1:] = (seg[1:] != seg[:-1]) | (each[1:] != each[:-1]) | (longer[1:] != longer[:-1])
+    run = np.flatnonzero(new)
+    return (start - off[:-1][seg])[run], np.bincount(seg[run], minlength=len(windows)), each[run], longer[run]
+
+
 def _anchor_places(text: np.ndarray, at: np.ndarray, anchor: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Where in each segment its anchor starts: not before the last window does, and the first such place."""
     own = np.concatenate([text, np.zeros(32, np.uint8)])

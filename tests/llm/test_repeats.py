@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -85,6 +86,57 @@ def test_planted_repeats_over_many_blocks(spark):
     assert rp.remove_repeats(df.limit(0), 50).count() == 0
 
 
+def brute_groups(rows, length=50):
+    """(string, n, id, start) of every occurrence, from counts of all windows and of all windows with their next byte."""
+    one, two = Counter(), Counter()
+    for _, t in rows:
+        for p in range(len(t) - length + 1):
+            one[t[p : p + length]] += 1
+            if p + length < len(t):
+                two[t[p : p + length + 1]] += 1
+    out = []
+    for i, t in rows:
+        n = [one[t[p : p + length]] for p in range(len(t) - length + 1)]
+        a = 0
+        for p in range(len(n)):
+            if p + 1 == len(n) or not n[p] == n[p + 1] == two[t[p : p + length + 1]]:
+                if n[p] > 1:
+                    out.append((t[a : p + length], n[p], i, a))
+                a = p + 1
+    return out
+
+
+def check_groups(df, rows, length=50, **kw):
+    want = brute_groups(rows, length)
+    got = sorted(tuple(r) for r in rp.repeat_groups(df, length, **kw).collect())
+    assert got == sorted((hashlib.blake2b(s, digest_size=16).hexdigest(), len(s), n, i, a) for s, n, i, a in want)
+    listed = Counter(r[0] for r in got)
+    assert all(listed[r[0]] == r[2] for r in got)
+    return want
+
+
+def test_groups_list_every_occurrence(spark):
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(60) for _ in range(6)]
+    rows = [(i, text(r.randint(0, 30)) + "".join(r.choice(passages)[r.randint(0, 90) :][: r.randint(40, 250)] + text(r.randint(0, 3)) for _ in range(r.randint(0, 4)))) for i in range(80)]
+    rows += [(200, "ab" * 200), (201, "ab" * 90), (202, "x" * 49), (203, "y" * 50), (204, "y" * 51), (205, ""), (206, None), (207, passages[0] * 2), (3, passages[1]), (208, rows[5][1] + text(20)), (300, "z" * 1000)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in [*rows, (None, passages[0])]], "doc_id long, text string, block string").repartition(3)
+    data = [(i, (t or "").encode()) for i, t in rows]
+    for size in (1 << 30, 1500):
+        want = check_groups(df, data, block_bytes=size)
+    assert max(n for _, n, _, _ in want) > 10 and max(len(s) for s, *_ in want) > 120
+    assert rp.repeat_groups(df.limit(0)).count() == 0
+    few = [(i, "".join(r.choice("ab") for _ in range(300))) for i in range(40)]
+    check_groups(spark.createDataFrame(few, "doc_id long, text string"), [(i, t.encode()) for i, t in few], 28, block_bytes=2000)
+
+
+def test_whole_table_groups_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert check_groups(docs, [(r.doc_id, r.text.encode()) for r in docs.collect()], block_bytes=200_000)
+
+
 def test_whole_table_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     check(docs, [(r.doc_id, r.text.encode()) for r in docs.collect()], block_bytes=200_000)
