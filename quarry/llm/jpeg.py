@@ -1,4 +1,4 @@
-"""Progressive JPEG (4:2:0, 8 bit) on numpy, for many images at once.
+"""Progressive JPEG (8 bit, one or three components of any sampling and size) on numpy, for many images at once.
 
 Entropy-coded data cannot be cut up without markers, so scans carry restart
 intervals, and the decoder walks all intervals of all images of a batch in
@@ -6,7 +6,11 @@ lockstep: each step decodes one symbol of every interval with array operations.
 Scans fill coefficient arrays bit by bit (spectral selection and successive
 approximation, DC and AC, first and refining); the inverse transform, chroma
 upsampling and colour conversion are exact integer arithmetic, so equal files
-give equal pixels in whatever batch they come.
+give equal pixels in whatever batch they come. A file without restart markers is
+one interval: it is as many images a batch that make it fast then.
+
+A component's blocks that its own scans cover come first, row by row, and the blocks
+that only fill up the last MCUs of interleaved scans after them.
 """
 
 from __future__ import annotations
@@ -75,39 +79,88 @@ def _extra(v: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.where(v < 0, v + (1 << size) - 1, v).astype(np.uint64)
 
 
-@dataclass
+@dataclass(frozen=True)
 class Shape:
-    """MCU grid of an image."""
+    """MCU grid of an image, its pixels (whole MCUs where not given), and horizontal and vertical sampling of each component."""
 
     across: int
     down: int
+    height: int = 0
+    width: int = 0
+    sampling: tuple = ((2, 2), (1, 1), (1, 1))
+
+    @property
+    def most(self) -> tuple[int, int]:
+        return max(h for h, _ in self.sampling), max(v for _, v in self.sampling)
+
+    @property
+    def size(self) -> tuple[int, int]:
+        """Height and width in pixels."""
+        h, v = self.most
+        return self.height or 8 * v * self.down, self.width or 8 * h * self.across
 
     @property
-    def blocks(self) -> tuple[int, int, int]:
-        n = self.across * self.down
-        return 4 * n, n, n
+    def blocks(self) -> tuple[int, ...]:
+        return tuple(self.across * self.down * h * v for h, v in self.sampling)
+
+    @property
+    def own(self) -> tuple[tuple[int, int], ...]:
+        """Rows and columns of each component's blocks that hold pixels."""
+        (hm, vm), (height, width) = self.most, self.size
+        return tuple((-(-(-(-height * v // vm)) // 8), -(-(-(-width * h // hm)) // 8)) for h, v in self.sampling)
+
+    @property
+    def pattern(self) -> tuple[int, ...]:
+        """The component of each block of an interleaved MCU."""
+        return tuple(c for c, (h, v) in enumerate(self.sampling) for _ in range(h * v))
+
+
+def shape_of(height: int, width: int, sampling: tuple) -> Shape:
+    h, v = max(x for x, _ in sampling), max(x for _, x in sampling)
+    return Shape(-(-width // (8 * h)), -(-height // (8 * v)), height, width, sampling)
 
 
 def shape_for(blocks: int) -> Shape:
-    """A grid that has room for so many blocks."""
+    """A 4:2:0 grid that has room for so many blocks."""
     mcus = max(1, -(-blocks // 6))
     across = min(mcus, PER_ROW)
     return Shape(across, -(-mcus // across))
 
 
-@functools.lru_cache(maxsize=4096)
-def _mcu_rows(across: int, down: int) -> np.ndarray:
-    my, mx = np.divmod(np.arange(across * down), across)
-    y = [(2 * my + v) * 2 * across + 2 * mx + h for v in (0, 1) for h in (0, 1)]
-    return np.stack([*y, my * across + mx, my * across + mx], 1)
+def places(s: Shape, c: int) -> np.ndarray:
+    """Where the blocks of a component's grid, filling ones included, are stored."""
+    h, v = s.sampling[c]
+    rows, cols = s.own[c]
+    inside = np.zeros((s.down * v, s.across * h), bool)
+    inside[:rows, :cols] = True
+    out = np.empty(inside.shape, np.int64)
+    out[inside] = np.arange(rows * cols)
+    out[~inside] = np.arange(rows * cols, inside.size)
+    return out
+
+
+def _mcu_rows(s: Shape) -> np.ndarray:
+    my, mx = np.divmod(np.arange(s.across * s.down), s.across)
+    grids = [places(s, c) for c in range(len(s.sampling))]
+    return np.stack([g[v * my + j, h * mx + i] for g, (h, v) in zip(grids, s.sampling) for j in range(v) for i in range(h)], 1)
+
+
+_small_mcu_rows = functools.lru_cache(maxsize=512)(_mcu_rows)
 
 
 def mcu_rows(s: Shape) -> np.ndarray:
-    """(MCUs, 6): in MCU order the rows of its four Y, its Cb and its Cr block in their components."""
-    return _mcu_rows(s.across, s.down)
+    """(MCUs, blocks of one): in MCU order the places of its blocks in their components."""
+    return (_small_mcu_rows if s.across * s.down <= 4096 else _mcu_rows)(s)
+
 
+def _bases(shapes: list[Shape]) -> list[np.ndarray]:
+    """For three components (none have no blocks) where each image's blocks start, end to end."""
+    return [np.append(0, np.cumsum([s.blocks[c] if c < len(s.sampling) else 0 for s in shapes], dtype=np.int64)) for c in range(3)]
 
-PATTERN = (0, 0, 0, 0, 1, 2)
+
+def _units(shapes: list[Shape]) -> list[np.ndarray]:
+    """For three components the blocks of each image that the component's own scans cover."""
+    return [np.asarray([s.own[c][0] * s.own[c][1] if c < len(s.sampling) else 0 for s in shapes], np.int64) for c in range(3)]
 
 
 # encoding
@@ -224,40 +277,50 @@ _TABLES = struct.pack(">HHB64B", 0xFFDB, 67, 0, *([1] * 64)) + _dht(0x00, DC_COU
 
 
 def encode(shapes: list[Shape], coefs: list[np.ndarray], comments: list[bytes]) -> list[bytes]:
-    """Files for images whose quantised coefficients (component by component, all images' blocks end to end, zigzag order) are given."""
+    """Files for images of one sampling whose quantised coefficients (component by component, all images' blocks end to end, zigzag order) are given."""
+    if len({s.sampling for s in shapes}) != 1:
+        raise ValueError("images of one sampling are written at a time")
+    sampling, pattern = shapes[0].sampling, shapes[0].pattern
+    frame = b"".join(bytes([c + 1, 16 * h + v, 0]) for c, (h, v) in enumerate(sampling))
+    files = [[b"\xff\xd8" + struct.pack(">HH", 0xFFFE, 2 + len(t)) + t + _TABLES + struct.pack(">HHBHHB", 0xFFC2, 8 + len(frame), 8, *s.size, len(sampling)) + frame] for s, t in zip(shapes, comments)]
+    bases, units = _bases(shapes), _units(shapes)
+    own = [expand(b[:-1], u) if u.sum() < b[-1] else None for b, u in zip(bases, units)]
     mcus = np.asarray([s.across * s.down for s in shapes], np.int64)
-    files = [[b"\xff\xd8" + struct.pack(">HH", 0xFFFE, 2 + len(t)) + t + _TABLES + struct.pack(">HHBHHB", 0xFFC2, 17, 8, 16 * s.down, 16 * s.across, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])] for s, t in zip(shapes, comments)]
-    bases = [np.append(0, np.cumsum(mcus * f)) for f in (4, 1, 1)]
     order = [mcu_rows(s) for s in shapes]
     for comps, lo, hi, ah, al in SCANS:
-        if len(comps) > 1:
-            image, number, last, _ = _intervals(mcus)
-            rows = np.concatenate([o + np.asarray([bases[c][i] for c in PATTERN]) for i, o in enumerate(order)])
-            mcu_iv = np.repeat(np.arange(len(image)), _intervals(mcus)[3])
-            vals = np.stack([coefs[c][rows[:, j], 0].astype(np.int64) for j, c in enumerate(PATTERN)], 1)
-            iv = np.repeat(mcu_iv, 6)
+        comps = comps[: len(sampling)] if lo == 0 else comps
+        if comps[0] >= len(sampling):
+            continue
+        c = comps[0]
+        image, number, last, n = _intervals(mcus if len(comps) > 1 else units[c])
+        unit_iv = np.repeat(np.arange(len(image)), n)
+        if lo == 0:
+            cols = pattern if len(comps) > 1 else comps
+            if len(comps) > 1:
+                rows = np.concatenate([o + np.asarray([bases[x][i] for x in pattern]) for i, o in enumerate(order)])
+            else:
+                rows = (np.arange(bases[c][-1]) if own[c] is None else own[c])[:, None]
+            vals = np.stack([coefs[x][rows[:, j], 0].astype(np.int64) for j, x in enumerate(cols)], 1)
+            iv = np.repeat(unit_iv, len(cols))
             if ah:
                 bits, length = ((vals >> al) & 1).ravel().astype(np.uint64), np.ones(vals.size, np.int64)
             else:
                 code, width = _table(DC_CODES)
                 vals >>= al
-                new = np.append(True, mcu_iv[1:] != mcu_iv[:-1])
+                new = np.append(True, unit_iv[1:] != unit_iv[:-1])
                 diff = np.empty_like(vals)
-                for c in range(3):
-                    cols = [j for j, p in enumerate(PATTERN) if p == c]
-                    seq = vals[:, cols]
+                for x in comps:
+                    at = [j for j, p in enumerate(cols) if p == x]
+                    seq = vals[:, at]
                     prev = np.concatenate([[0], seq.ravel()[:-1]]).reshape(seq.shape)
                     prev[new, 0] = 0
-                    diff[:, cols] = seq - prev
+                    diff[:, at] = seq - prev
                 d = diff.ravel()
                 size = _size(d)
                 bits, length = (code[size] << size.astype(np.uint64)) | _extra(d, size), width[size] + size
         else:
-            c = comps[0]
-            image, number, last, n = _intervals(mcus * (4 if c == 0 else 1))
-            block_iv = np.repeat(np.arange(len(image)), n)
-            row, bits, length = (_ac_refine if ah else _ac_first)(coefs[c], lo, hi, al)
-            iv = block_iv[row]
+            row, bits, length = (_ac_refine if ah else _ac_first)(coefs[c] if own[c] is None else coefs[c][own[c]], lo, hi, al)
+            iv = unit_iv[row]
         data, off = _pack(iv, bits, length, len(image))
         data, off = _framed(data, off, last, number)
         raw = data.tobytes()
@@ -278,6 +341,7 @@ class Header:
     quant: dict = field(default_factory=dict)
     comment: bytes = b""
     comp_quant: list = field(default_factory=list)
+    transformed: bool = True  # luma and chroma, not red, green and blue
     scans: list = field(default_factory=list)  # (comps, lo, hi, ah, al, interval, tables, start, end)
 
 
@@ -285,23 +349,42 @@ _NEXT = re.compile(rb"\xff[^\x00\xff\xd0-\xd7]", re.S)
 
 
 def parse(data: bytes) -> Header:
-    """Marker segments of a three-component 4:2:0 progressive file."""
-    h, at, tables, interval = Header(), 2, {}, 0
+    """Marker segments of a progressive file of one or three components; ValueError for anything else."""
+    try:
+        return _parse(data)
+    except (IndexError, KeyError, AttributeError, TypeError, struct.error) as e:
+        raise ValueError("broken JPEG file") from e
+
+
+def _parse(data: bytes) -> Header:
+    h, at, tables, interval, names, adobe = Header(), 2, {}, 0, [], None
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
     while True:
+        while data[at + 1] == 0xFF:
+            at += 1
         mark = data[at + 1]
+        if data[at] != 0xFF:
+            raise ValueError("broken JPEG file")
         if mark == 0xD9:
+            if h.shape is None or any(q not in h.quant for q in h.comp_quant):
+                raise ValueError("no frame, or no quantisation table of it")
+            h.transformed = adobe != 0 if adobe is not None else names != [82, 71, 66]
             return h
         size = int.from_bytes(data[at + 2 : at + 4], "big")
         body = data[at + 4 : at + 2 + size]
+        if len(body) < size - 2:
+            raise ValueError("broken JPEG file")
         at += 2 + size
         if mark == 0xFE:
             h.comment = body
+        elif mark == 0xEE and body[:5] == b"Adobe":
+            adobe = body[11]
         elif mark == 0xDB:
             while body:
-                h.quant[body[0] & 15] = np.frombuffer(body[1:65], np.uint8).astype(np.int64)
-                body = body[65:]
+                wide = 1 + (body[0] >> 4)
+                h.quant[body[0] & 15] = np.frombuffer(body[1 : 1 + 64 * wide], ">u2" if wide == 2 else np.uint8).astype(np.int64)
+                body = body[1 + 64 * wide :]
         elif mark == 0xC4:
             while body:
                 counts = list(body[1:17])
@@ -311,20 +394,28 @@ def parse(data: bytes) -> Header:
         elif mark == 0xDD:
             interval = int.from_bytes(body, "big")
         elif mark == 0xC2:
-            height, width = struct.unpack(">HH", body[1:5])
-            if body[5] != 3 or [body[7], body[10], body[13]] != [0x22, 0x11, 0x11] or height % 16 or width % 16:
-                raise ValueError("only whole 4:2:0 MCUs of three components are read here")
-            h.shape = Shape(width // 16, height // 16)
-            h.comp_quant = [body[8], body[11], body[14]]
+            bits, height, width, n = struct.unpack(">BHHB", body[:6])
+            sampling = tuple((body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15) for i in range(n))
+            if bits != 8 or n not in (1, 3) or not height or not width or not all(a and b for a, b in sampling):
+                raise ValueError("only 8-bit frames of one or three components and a stated size are read here")
+            if n == 1:
+                sampling = ((1, 1),)  # factors mean nothing where there is nothing to compare with
+            if any(max(x[k] for x in sampling) % y[k] for y in sampling for k in (0, 1)):
+                raise ValueError("sampling factors that do not divide the largest")
+            h.shape = shape_of(height, width, sampling)
+            names = [body[6 + 3 * i] for i in range(n)]
+            h.comp_quant = [body[8 + 3 * i] for i in range(n)]
         elif 0xC0 <= mark <= 0xCF:
             raise ValueError("not a progressive Huffman file")
         elif mark == 0xDA:
             n = body[0]
-            comps = tuple(body[1 + 2 * i] - 1 for i in range(n))
+            comps = tuple(names.index(body[1 + 2 * i]) for i in range(n))
             sel = [body[2 + 2 * i] for i in range(n)]
             lo, hi, ahl = body[1 + 2 * n : 4 + 2 * n]
+            if hi > 63 or lo > hi or (lo > 0 and n > 1) or list(comps) != sorted(set(comps)) or (lo == 0 and hi > 0):
+                raise ValueError("a scan that progressive files cannot have")
             end = _NEXT.search(data, at).start()
-            used = tuple(tables.get(s >> 4 if lo == 0 else 0x10 | (s & 15)) for s in sel)
+            used = tuple(None if lo == 0 and ahl >> 4 else tables[s >> 4 if lo == 0 else 0x10 | (s & 15)] for s in sel)
             h.scans.append((comps, lo, hi, ahl >> 4, ahl & 15, interval, used, at, end))
             at = end
 
@@ -458,30 +549,34 @@ def _decode_ac_refine(b: Bits, row: np.ndarray, count: np.ndarray, out: np.ndarr
 
 
 def decode(files: list[bytes]) -> tuple[list[Header], list[np.ndarray], list[np.ndarray]]:
-    """Headers, the three coefficient arrays of all images end to end, and each image's n + 1 offsets in them."""
+    """Headers, three coefficient arrays of all images end to end, and each image's n + 1 offsets in them (grey ones have no blocks in two)."""
     heads = [parse(f) for f in files]
-    mcus = np.asarray([h.shape.across * h.shape.down for h in heads], np.int64)
-    bases = [np.append(0, np.cumsum(mcus * f)) for f in (4, 1, 1)]
+    shapes = [h.shape for h in heads]
+    mcus = np.asarray([s.across * s.down for s in shapes], np.int64)
+    bases, own = _bases(shapes), _units(shapes)
     coefs = [np.zeros((int(x[-1]) + 1, 64), np.int16) for x in bases]
     for turn in range(max((len(h.scans) for h in heads), default=0)):
         groups = defaultdict(list)
         for i, h in enumerate(heads):
             if turn < len(h.scans):
-                groups[h.scans[turn][:7]].append(i)
-        for (comps, lo, hi, ah, al, interval, tables), who in groups.items():
+                groups[(*h.scans[turn][:7], h.shape.pattern)].append(i)
+        for (comps, lo, hi, ah, al, interval, tables, blocks), who in groups.items():
             b = Bits([files[i][heads[i].scans[turn][7] : heads[i].scans[turn][8]] for i in who])
             luts = {c: _lookup(canonical(list(t[0]), list(t[1]))) if t else None for c, t in zip(comps, tables)}
             ids = np.asarray(who)
             image = ids[b.part]
             first = np.searchsorted(b.part, np.arange(len(who)))
             number = np.arange(len(b.part)) - first[b.part]
-            units = mcus * (4 if comps == (0,) else 1)
-            step = interval or int(units.max())
+            units = mcus if len(comps) > 1 else own[comps[0]]
+            step = interval or int(units[ids].max())
             count = np.minimum(step, units[image] - number * step)
+            if count.min() <= 0:
+                raise ValueError("more restart markers than intervals")
             if lo == 0:
-                pattern = [c for c in PATTERN if c in comps] if len(comps) > 1 else list(comps)
+                pattern = [c for c in blocks if c in comps] if len(comps) > 1 else list(comps)
                 if len(comps) > 1:
-                    grid = np.concatenate([mcu_rows(heads[i].shape)[:, [j for j, c in enumerate(PATTERN) if c in comps]] + np.asarray([bases[c][i] for c in pattern]) for i in who])
+                    cols = [j for j, c in enumerate(blocks) if c in comps]
+                    grid = np.concatenate([mcu_rows(heads[i].shape)[:, cols] + np.asarray([bases[c][i] for c in pattern]) for i in who])
                     start = (np.cumsum(mcus[ids]) - mcus[ids])[b.part] + number * step
                 else:
                     grid, start = np.arange(len(coefs[comps[0]]))[:, None], bases[comps[0]][image] + number * step
@@ -513,23 +608,25 @@ def plane(blocks: np.ndarray, across: int) -> np.ndarray:
 
 
 def rgb(y: np.ndarray, cb: np.ndarray, cr: np.ndarray) -> np.ndarray:
-    """Full-resolution RGB: chroma is doubled both ways, then converted in 16-bit fixed point."""
+    """RGB from planes of full resolution, in 16-bit fixed point."""
     y = y.astype(np.int32) << 16
-    u, v = (p.repeat(2, 0).repeat(2, 1).astype(np.int32) - 128 for p in (cb, cr))
+    u, v = (p.astype(np.int32) - 128 for p in (cb, cr))
     half = 1 << 15
     # fixed values: JFIF's conversion, times 65536
     return np.clip(np.stack([y + 91881 * v, y - 22554 * u - 46802 * v, y + 116130 * u], 2) + half >> 16, 0, 255).astype(np.uint8)
 
 
 def pixels(heads: list[Header], coefs: list[np.ndarray], bases: list[np.ndarray]) -> list[np.ndarray]:
-    """Each image's RGB tensor."""
+    """Each image's RGB tensor in full resolution: components of lower sampling are repeated; a grey one is three equal channels."""
     out = []
     same = all(np.array_equal(h.quant[q], heads[0].quant[heads[0].comp_quant[0]]) for h in heads for q in h.comp_quant)
     whole = [samples(c, heads[0].quant[heads[0].comp_quant[0]]) for c in coefs] if same and heads else None
     for i, h in enumerate(heads):
-        p = []
-        for c in range(3):
-            a, z = bases[c][i], bases[c][i + 1]
-            p.append(plane(whole[c][a:z] if same else samples(coefs[c][a:z], h.quant[h.comp_quant[c]]), h.shape.across * (2 if c == 0 else 1)))
-        out.append(rgb(*p))
+        p, (hm, vm), (height, width) = [], h.shape.most, h.shape.size
+        for c, ((rows, cols), (x, y)) in enumerate(zip(h.shape.own, h.shape.sampling)):
+            a = bases[c][i]
+            z = a + rows * cols
+            full = plane(whole[c][a:z] if same else samples(coefs[c][a:z], h.quant[h.comp_quant[c]]), cols)
+            p.append(full.repeat(vm // y, 0).repeat(hm // x, 1)[:height, :width])
+        out.append(rgb(*p) if len(p) == 3 and h.transformed else np.stack(p if len(p) == 3 else p * 3, 2))
     return out
