@@ -592,6 +592,17 @@ def date_parts(t):
     return t("orders").select("o_orderkey", F.year("o_orderdate").cast("bigint").alias("y"), F.month("o_orderdate").cast("bigint").alias("m"), F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("mon"))
 
 
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS minute, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS days, last_day(CAST(o_orderdate AS DATE)) AS last, CAST(extract(DOW FROM o_orderdate) AS BIGINT) AS dow FROM orders")
+def date_text(t):
+    d = col("o_orderdate").cast("date")
+    return t("orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm").alias("minute"), F.date_diff(d, lit("1992-01-01").cast("date")).cast("bigint").alias("days"), F.last_day(d).alias("last"), (F.dayofweek(d) - 1).cast("bigint").alias("dow"))
+
+
+@query("SELECT p_partkey, regexp_replace(p_name, '[aeiou]+', '-', 'g') AS plain, regexp_extract(p_name, '(\\w+)', 1) AS word, len(regexp_extract_all(p_name, '[aeiou]')) AS vowels FROM part")
+def str_regex(t):
+    return t("part").select("p_partkey", F.regexp_replace("p_name", "[aeiou]+", "-").alias("plain"), F.regexp_extract("p_name", r"(\w+)", 1).alias("word"), F.size(F.regexp_extract_all("p_name", lit("[aeiou]"), lit(0))).cast("bigint").alias("vowels"))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_field(t):
     return t("events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
@@ -628,6 +639,14 @@ def index_min_prefix(t):
     return access.min_with_prefix(t("part"), "p_name", "large")
 
 
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_custkey > 10 OR (o_custkey = 10 AND o_orderkey >= 5) ORDER BY o_custkey, o_orderkey LIMIT 25")
+def index_cursor(t):
+    o = t("orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    c = access.Cursor(o, "o_custkey", "o_orderkey")
+    c.seek(10, 5)
+    return o.sparkSession.createDataFrame([*c.next(), *c.next(10), *c.next(14)], o.schema)
+
+
 @query("SELECT p_partkey, p_name FROM part WHERE lower(substring(p_name, 1, 5)) = 'large'")
 def expr_index_lower(t):
     return access.equal(t("part"), F.lower(F.substring("p_name", 1, 5)), "large").select("p_partkey", "p_name")

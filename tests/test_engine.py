@@ -286,3 +286,30 @@ def test_stream_matches_batch(spark, sf, tmp_path):
     q.stop()
     got = {tuple(r) for r in spark.table("tumbling_out").collect()}
     assert {(a, b, c) for a, b, c, _ in got} == {(a, b, c) for a, b, c, _ in want}
+
+
+def test_cursor(spark):
+    import random
+
+    from quarry.operators.access import Cursor
+
+    keys = [(a, f"k{b}") for a in (-3, 0, 7, None) for b in range(12)] + [(1, None)]
+    random.Random(2).shuffle(keys)
+    df = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(keys)], "a int, b string, i int").repartition(3)
+    order = sorted(k for k in keys if None not in k)
+    for reverse in (False, True):
+        want = order[::-1] if reverse else order
+        c = Cursor(df, "a", "b", reverse=reverse)
+        got = []
+        while rows := c.next(7):
+            got += [(r.a, r.b) for r in rows]
+        assert got == want
+        c.seek_to_first()
+        assert tuple(c.next()[0])[:2] == want[0]
+        c.seek(0, "k30")
+        assert [(r.a, r.b) for r in c.next(3)] == [k for k in want if (k <= (0, "k30") if reverse else k >= (0, "k30"))][:3]
+        c.seek(0)
+        assert [(r.a, r.b) for r in c.next(2)] == [k for k in want if (k[0] <= 0 if reverse else k[0] >= 0)][:2]
+    c = Cursor(df.limit(0), "a")
+    c.seek(1)
+    assert c.next(3) == []
