@@ -313,3 +313,62 @@ def test_cursor(spark):
     c = Cursor(df.limit(0), "a")
     c.seek(1)
     assert c.next(3) == []
+
+
+def test_changes_rewrite_only_the_files_concerned(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "files"))
+    e.sql("CREATE TABLE parts_of (id INT PRIMARY KEY, up INT REFERENCES parts_of(id), v INT)")
+    m = e.catalog.meta("parts_of")
+    for k in range(3):
+        e.insert("parts_of", spark.range(100 * k, 100 * k + 100, 1, 10).selectExpr("CAST(id AS INT) AS id", "CAST(NULL AS INT) AS up", "0 AS v"))
+    first = list(m.versions[m.version])
+    point = e.savepoint("parts_of")
+    ids = lambda: sorted(r.id for r in e.table("parts_of").collect())
+    # one file of ten in one folder
+    e.delete("parts_of", "id BETWEEN 13 AND 15")
+    now = m.versions[m.version]
+    assert now[1:3] == first[1:] and now[0].startswith(first[0] + ":") and now[0].count(":") == 1 and len(now) == 4
+    assert ids() == [i for i in range(300) if not 13 <= i <= 15]
+    # nothing concerned: nothing written
+    e.update("parts_of", {"v": 9}, "id = 14")
+    assert m.versions[m.version] == now
+    # another file of the same folder and the file written above; a null condition changes nothing
+    e.update("parts_of", {"v": 5, "up": 250}, "id IN (12, 77) OR (v > 0 AND up > 3)")
+    assert sorted((r.id, r.up) for r in e.table("parts_of").filter("v = 5").collect()) == [(12, 250), (77, 250)] and len(ids()) == 297
+    assert m.versions[m.version][0].count(":") == 2
+    # keys and references hold against rows in files that stay
+    with pytest.raises(ConstraintViolation):
+        e.update("parts_of", {"id": 299}, "id = 200")
+    with pytest.raises(ConstraintViolation):
+        e.update("parts_of", {"up": 1000}, "id = 200")
+    with pytest.raises(ConstraintViolation):
+        e.update("parts_of", {"id": 301}, "id = 250")
+    e.update("parts_of", {"id": 300}, "id = 299")
+    e.sql("CREATE TABLE alone (id INT PRIMARY KEY)")
+    e.insert("alone", spark.range(0, 40, 1, 8).selectExpr("CAST(id AS INT) AS id"))
+    with pytest.raises(ConstraintViolation):
+        e.update("alone", {"id": 39}, "id = 2")
+    e.update("alone", {"id": 40}, "id = 2")
+    assert len(e.catalog.meta("alone").versions[2]) == 2 and e.table("alone").count() == 40
+    # half of a folder's files or more: the folder goes
+    e.delete("parts_of", "id BETWEEN 100 AND 160")
+    assert not any(x.startswith(first[1]) for x in m.versions[m.version])
+    want = ids()
+    assert want == [i for i in range(301) if not 13 <= i <= 15 and not 100 <= i <= 160 and i != 299]
+    assert Engine(spark, str(tmp_path / "files")).table("parts_of").count() == len(want)
+    e.rollback_to("parts_of", point)
+    assert len(ids()) == 300
+    e.delete("parts_of", "id = 5")
+    before = ids()
+    with pytest.raises(ZeroDivisionError), e.transaction("parts_of"):
+        e.delete("parts_of", "id = 6")
+        1 / 0
+    assert ids() == before
+    e.vacuum("parts_of")
+    assert ids() == before and len(e.catalog._names(f"{m.root}/{first[0]}")) < 12
+    e.vacuum("parts_of")
+    assert ids() == before and not any(":" in x for x in m.versions[m.version])
+    e.delete("parts_of")
+    assert ids() == []
+    e.delete("parts_of", "id = 1")
+    e.sql("DROP TABLE parts_of")
